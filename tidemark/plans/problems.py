@@ -65,6 +65,10 @@ def p4_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", F.col("ts").cast("date").alias("date"), F.col("feature").alias("subject"), F.col("known").alias("record_id"))
 
 
+#: Digits of the results of p5, and a term far below them that keeps an exact tie from being rounded either way.
+ROUNDING = (("volume", 3, 1e-6), ("close", 6, 1e-9), ("return", 9, 1e-13))
+
+
 def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing 7 and 30 day totals and averages of volume, close and return."""
     void = F.lit(None)
@@ -75,8 +79,7 @@ def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bars.unionByName(returns).groupBy("ticker", "date").agg(F.max("bar").alias("bar"), F.max("ret").alias("ret"))
     daily = both.select("ticker", "date", F.col("bar").isNotNull().alias("has_bar"), F.col("bar.volume").alias("volume"), F.col("bar.close").alias("close"), "ret")
     wide = trailing_totals(daily, "ticker", "date", "has_bar", {"volume": "volume", "close": "close", "return": "ret"})
-    # sums differ in the last bits with the order of addition; the small term keeps that from deciding exact ties
-    rounded = {c: F.round(F.col(c) + (1e-13 if c.startswith("return") else 1e-9), 9 if c.startswith("return") else 6) for c, kind in wide.dtypes if kind == "double"}
+    rounded = {c: F.round(F.col(c) + ties, digits) for c, kind in wide.dtypes if kind == "double" for name, digits, ties in ROUNDING if c.startswith(name)}
     return wide.withColumns(rounded)
 
 
@@ -124,7 +127,7 @@ _PERIODS = "".join(
     + "".join(
         f""", coalesce({'cast(sum(' + c + ') over w' + str(n) + ' as bigint)' if c == 'volume' else 'round(sum(' + c + ') over w' + str(n) + ' + ' + tie + ', ' + str(digits) + ')'}, 0) as {name}_sum_{n}d,
         count({c}) over w{n} as {name}_days_{n}d, round(sum({c}) over w{n} / nullif(count({c}) over w{n}, 0) + {tie}, {digits}) as {name}_avg_{n}d"""
-        for name, c, digits, tie in (("volume", "volume", 6, "1e-9"), ("close", "close", 6, "1e-9"), ("return", "ret", 9, "1e-13"))
+        for name, c, digits, tie in (("volume", "volume", 3, "1e-6"), ("close", "close", 6, "1e-9"), ("return", "ret", 9, "1e-13"))
     )
     for n in (7, 30)
 )
