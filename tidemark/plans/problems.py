@@ -9,6 +9,7 @@ from tidemark.functions.common import canonical_ticker, day_string, finite, late
 from tidemark.operators.history import version_history
 from tidemark.operators.known_asof import attach_known
 from tidemark.operators.snapshot_diff import snapshot_diff
+from tidemark.operators.spikes import Field, implausible_readings
 from tidemark.operators.trailing import trailing_totals
 
 
@@ -18,6 +19,23 @@ def counting_bars(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
     return latest_rows(panel, ["ticker", "date"], ["ingested_at"], values)
 
 
+#: Prices depart by changes, volumes by their spread.
+READINGS = (Field("open"), Field("close"), Field("volume", positive=False, spread=True, factor=10.0))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open, close and volume readings that can't be right for their ticker."""
+    bars = counting_bars(spark, sf_dir, "open", "close", "volume")
+    flagged = implausible_readings(bars, "ticker", "date", READINGS, flagged_only=True)
+    return flagged.select(F.col("source").alias("ticker"), day_string("day").alias("date"), "field")
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading with its isolation score and the reason why it is flagged, if it is."""
+    scored = implausible_readings(counting_bars(spark, sf_dir, "open", "close", "volume"), "ticker", "date", READINGS)
+    return scored.withColumnRenamed("source", "ticker").withColumnRenamed("day", "date")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validity periods of membership and sector."""
     updates = table(spark, sf_dir, "universe_history").withColumn("ticker", canonical_ticker("ticker"))
@@ -91,7 +109,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select(day_string("as_of").alias("as_of"), "ticker", "change")
 
 
-QUERIES = {"p3_found": p3_found, "p3_history": p3_history, "p4_found": p4_found, "p4_attached": p4_attached, "p5_trailing": p5_trailing, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_history": p3_history, "p4_found": p4_found, "p4_attached": p4_attached, "p5_trailing": p5_trailing, "p7_found": p7_found}
 
 TICKER = "upper(replace(trim(ticker, ' ' || chr(9) || chr(10) || chr(13)), '.', '-'))"
 
