@@ -86,6 +86,9 @@ def test_attach_known_matches_brute_force(spark):
     assert rows(out, "entity", "ts", "ticker", "feature", "known", "plain") == sorted(want, key=str)
     differing = attach_known(e, r, ["eff", "av"], "id", known, F.col("eff"), F.col("ticker"), differing_only=True)
     assert rows(differing, "entity", "ts", "ticker", "feature", "known", "plain") == sorted([w for w in want if w[4] != w[5]], key=str)
+    clash = e.withColumns({c: F.lit(1) for c in ("flag", "version", "salt", "step", "row", "known", "feature")})
+    again = attach_known(clash, r, ["eff", "av"], "id", known, F.col("eff"), F.col("ticker"))
+    assert rows(again, "entity", "ts", "ticker", "feature_1", "known_1", "plain") == sorted(want, key=str)
     assert attach_known(e.limit(0), r, ["eff", "av"], "id", known, F.col("eff"), F.col("ticker")).count() == 0
     assert attach_known(e, r.limit(0), ["eff", "av"], "id", known, F.col("eff"), F.col("ticker")).count() == 0
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import require_columns
+from tidemark.functions.common import fresh, require_columns
 
 
 def version_points(records: DataFrame, order: Sequence[str], record_id: str, known_from: Column, valid_from: Column) -> DataFrame:
@@ -37,22 +37,22 @@ def version_points(records: DataFrame, order: Sequence[str], record_id: str, kno
     return forced.withColumn("was", F.lag(state).over(by_day)).filter(F.col("was").isNull() | (F.col("was") != state)).drop("was")
 
 
-def number_events(events: DataFrame, points: DataFrame, spread: Column, salts: int = 8) -> DataFrame:
+def number_events(events: DataFrame, points: DataFrame, salts: int = 8) -> DataFrame:
     """Events with ``version``, the number of change days of their entity up to and including theirs, and ``flag``.
 
-    ``events`` has ``entity``, ``ts`` and further columns that are carried along; ``points`` has ``entity``, ``ts`` and
+    ``events`` has ``entity``, ``ts``, ``spread`` and ``row`` (a struct that is carried along); ``points`` has ``entity``, ``ts`` and
     ``flag``, one row for each change day of an entity. The numbering is a cumulative count over narrow rows; ``flag``
     is that of the last change day. Events before the first change day have version 0. An entity's events are
-    spread over ``salts`` windows by ``spread``, and its few change days repeated for each, so one entity with a third of all
+    spread over ``salts`` windows by the hash of ``spread``, and its few change days repeated for each, so one entity with a third of all
     events isn't sorted in one task.
     """
-    carried = [c for c in events.columns if c not in ("entity", "ts")]
-    narrow = events.withColumns({"salt": F.pmod(F.xxhash64(spread), F.lit(salts)), "step": F.lit(None).cast("int"), "flag": F.lit(None).cast("boolean")}).unionByName(
-        points.select("entity", "ts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), F.lit(1).alias("step"), "flag"), allowMissingColumns=True
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    narrow = events.select("entity", "ts", F.pmod(F.xxhash64("spread"), F.lit(salts)).alias("salt"), "row").unionByName(
+        points.select("entity", "ts", every.alias("salt"), F.lit(1).alias("step"), "flag"), allowMissingColumns=True
     )
     w = Window.partitionBy("entity", "salt").orderBy(F.col("ts"), F.col("step").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = narrow.withColumns({"version": F.coalesce(F.sum("step").over(w), F.lit(0)), "flag": F.last("flag", ignorenulls=True).over(w)})
-    return counted.filter("step is null").select("entity", "ts", *carried, "version", "flag")
+    return counted.filter("step is null").select("entity", "ts", "row", "version", "flag")
 
 
 def change_days(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,11 +72,11 @@ def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], re
     equi-joined with the history on (entity, version); a record that became known later is never attached.
 
     Result: the events' columns, ``feature``, ``known`` (the record id to attach, null if none is known yet) and
-    ``plain`` (the one without regard to availability). An event yields a row for each feature of its entity that has
-    any record in force; events of a null entity, of an unknown one, with a null ``ts``, or before the entity's first record yield none.
+    ``plain`` (the one without regard to availability); a name that the events have already gets a number. An event yields a row for each feature of its entity
+    that has any record in force; events of a null entity, of an unknown one, with a null ``ts``, or before the entity's first record yield none.
     With ``differing_only`` only rows with known <> plain result, and other events are dropped before the join.
     Records that are never available (null ``known_from``) count in the plain view only. Repeated records change
-    nothing; ties in ``order`` fall to the greatest record id.
+    nothing, repeated events stay repeated; ties in ``order`` fall to the greatest record id.
     """
     require_columns(events, ["entity", "ts"], "events")
     require_columns(records, ["entity", "feature", *order, record_id], "records")
@@ -89,6 +89,8 @@ def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], re
         days = days.withColumn("flag", F.coalesce("flag", F.lit(False)))
     else:
         days = days.withColumn("flag", F.lit(True))
-    timed = events.filter("entity is not null and ts is not null")
-    numbered = number_events(timed, days.select("entity", "ts", "flag"), spread).filter("version > 0 and flag").drop("flag")
-    return numbered.join(wide.drop("ts"), ["entity", "version"]).drop("version")
+    carried = [c for c in events.columns if c not in ("entity", "ts")]
+    timed = events.filter("entity is not null and ts is not null").select("entity", "ts", spread.alias("spread"), F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).alias("row"))
+    numbered = number_events(timed, days.select("entity", "ts", "flag")).filter("version > 0 and flag").drop("flag")
+    joined = numbered.join(wide.drop("ts"), ["entity", "version"])
+    return joined.select("entity", "ts", *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carried)], *[F.col(c).alias(fresh(events.columns, c)) for c in ("feature", "known", "plain")])
