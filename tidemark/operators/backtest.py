@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import require_columns
+from tidemark.functions.common import checkpointed, require_columns
 from tidemark.functions.exprs import week_ending_friday
-from tidemark.operators.metrics import deflated_sharpe, performance, prediction_metrics
+from tidemark.operators.metrics import performance, prediction_metrics, return_moments, sharpe_probability
 from tidemark.operators.panel import refuse
 from tidemark.operators.portfolio import projection_portfolio
 
@@ -33,11 +33,13 @@ def rebalance_sums(weights: DataFrame, value: str, keys: Sequence[str] = (), liq
     changes over the union of both books (the first book against nothing). ``impact`` is the sum over current names of half the traded weight times
     volatility times the root of traded weight per unit of dollar volume, so that costs at any notional follow without another pass.
 
-    The books are numbered per key by distinct date and joined with themselves, so a name that is absent for one date counts as weight 0 there.
+    The books are numbered per key by distinct date and joined with themselves, so a name that is absent for one date counts as weight 0 there. The chosen
+    names are written to the checkpoint folder first, so whatever made them runs once and not for each side of the join.
     """
     extra = [dollar_volume, volatility] if liquidity else []
     require_columns(weights, [*keys, "date", "ticker", "weight", value, *extra], "weights")
     held = weights.select(*keys, "date", "ticker", F.col("weight").cast("double").alias("weight"), F.col(value).cast("double").alias("ret"), *extra).filter("ret is not null and not isnan(ret)")
+    held = checkpointed(held)
     w = Window.partitionBy(*keys).orderBy("date")
     days = held.select(*keys, "date").distinct().withColumns({"k": F.row_number().over(w), "later": F.lead("date").over(w)})
     numbered = held.join(days, [*keys, "date"])
@@ -126,19 +128,16 @@ def evaluate_signals(frame: DataFrame, signals: Sequence[str], target: str = "ta
     """
     require_columns(frame, ["date", "ticker", "sector", "beta", value, target, *signals], "frame")
     spark = frame.sparkSession
-    weekly = frame.join(weekly_dates(frame), "date", "left_semi")
+    used = frame.select("date", "ticker", "sector", "beta", value, target, *signals)
+    weekly = checkpointed(used.join(weekly_dates(frame), "date", "left_semi"))
     entries = [F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("prediction")) for s in signals]
     long = weekly.select("date", "ticker", "sector", "beta", value, target, F.explode(F.array(*entries)).alias("e")).select("*", "e.*").drop("e").filter("prediction is not null")
     books = projection_portfolio(long, "prediction", quantile, "sector", "beta", max_weight, ["signal", "date"])
-    tests = run_backtest(books, None, value, ["signal"], cost_bps=cost_bps)
-    tests.persist()
+    tests = checkpointed(run_backtest(books, None, value, ["signal"], cost_bps=cost_bps))
     perf = tests.groupBy("signal").agg(F.avg("turnover").alias("mean_turnover")).join(performance(tests, "net_return", ["signal"]), "signal")
-    chances = [(s, deflated_sharpe(tests.filter(F.col("signal") == s), "net_return", len(signals))) for s in signals]
-    dsr = spark.createDataFrame([(s, None if math.isnan(p) else p) for s, p in chances], "signal string, deflated_sharpe_probability double")
-    parts = [prediction_metrics(long.filter(F.col("signal") == s), "prediction", target)[1].withColumn("signal", F.lit(s)) for s in signals]
-    ics = parts[0]
-    for part in parts[1:]:
-        ics = ics.unionByName(part)
+    chances = {s: math.nan for s in signals} | {r["signal"]: sharpe_probability(*r[1:], len(signals)) for r in return_moments(tests, "net_return", ["signal"]).collect()}
+    dsr = spark.createDataFrame([(s, None if math.isnan(p) else p) for s, p in chances.items()], "signal string, deflated_sharpe_probability double")
+    ics = prediction_metrics(long, "prediction", target, ["signal"])[1]
     out = dsr.join(perf, "signal", "left").join(ics, "signal", "left")
     there = F.col("periods").isNotNull()
     shown = [F.when(there, F.col(c)).alias(c) for c in out.columns if c != "signal"]

@@ -21,9 +21,9 @@ def _ir(x: str) -> F.Column:
 def signal_summary(frame: DataFrame, signals: Sequence[str], target: str = "target", minimum: int = 5) -> DataFrame:
     """(signal, coverage, rank_ic, rank_ic_ir, ic_days), best first; all signals in one pass over an unpivoted frame."""
     long = unpivot(frame, ["date", target], signals, "signal", "x")
-    coverage = long.groupBy("signal").agg(F.avg((F.col("x").isNotNull() & ~F.isnan("x")).cast("double")).alias("coverage"))
-    ics = daily_ic(long, ["signal", "date"], "x", target, minimum).groupBy("signal").agg(F.avg("rank_ic").alias("rank_ic"), _ir("rank_ic").alias("rank_ic_ir"), F.count(F.lit(1)).alias("ic_days"))
-    out = coverage.join(ics, "signal", "left").withColumn("ic_days", F.coalesce("ic_days", F.lit(0).cast("bigint")))
+    days = daily_ic(long, ["signal", "date"], "x", target, minimum, coverage=True)
+    enough = F.col("n") >= minimum
+    out = days.groupBy("signal").agg((F.sum("present") / F.sum("rows")).alias("coverage"), F.avg("rank_ic").alias("rank_ic"), _ir("rank_ic").alias("rank_ic_ir"), F.count(F.when(enough, 1)).alias("ic_days"))
     return out.orderBy(F.desc_nulls_last("rank_ic"), "signal")
 
 

@@ -13,28 +13,36 @@ from tidemark.functions.common import require_columns
 from tidemark.functions.exprs import average_rank, correlation, sample_kurtosis, sample_skewness
 
 
-def daily_ic(frame: DataFrame, keys: Sequence[str], x: str, y: str, minimum: int = 5) -> DataFrame:
+def daily_ic(frame: DataFrame, keys: Sequence[str], x: str, y: str, minimum: int = 5, coverage: bool = False) -> DataFrame:
     """Per key: (keys..., pearson_ic, rank_ic, directional_accuracy, n) of rows where x and y are present.
 
-    Ranks are taken after incomplete rows are dropped, ties averaged. Keys with fewer than ``minimum`` complete rows are left out; a constant side gives a
-    null correlation and keeps its row. All windows share one shuffle on the keys.
+    Ranks are taken over complete rows only, ties averaged. Keys with fewer than ``minimum`` complete rows are left out; a constant side gives a
+    null correlation and keeps its row. All windows share one shuffle on the keys. With ``coverage`` all keys stay, and ``present`` and ``rows`` count the
+    rows with x and all rows, in the same pass; correlations of small keys are null then.
     """
     require_columns(frame, [*keys, x, y])
     a, b = F.col("ic_x"), F.col("ic_y")
-    both = frame.select(*keys, F.col(x).cast("double").alias("ic_x"), F.col(y).cast("double").alias("ic_y")).filter("ic_x is not null and ic_y is not null and not isnan(ic_x) and not isnan(ic_y)")
+    clean = frame.select(*keys, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(n) for c, n in ((x, "ic_x"), (y, "ic_y"))])
+    if coverage:
+        whole = a.isNotNull() & b.isNotNull()
+        marked = clean.withColumn("ic_present", a.isNotNull())
+        both = marked.withColumns({"ic_x": F.when(whole, a), "ic_y": F.when(whole, b)})
+    else:
+        both = clean.filter("ic_x is not null and ic_y is not null")
     ranked = both.withColumns({"rank_x": average_rank(a, keys), "rank_y": average_rank(b, keys)})
     same = F.avg((F.signum(a) == F.signum(b)).cast("double"))
-    out = ranked.groupBy(*keys).agg(
-        correlation(a, b).alias("pearson_ic"), correlation(F.col("rank_x"), F.col("rank_y")).alias("rank_ic"), same.alias("directional_accuracy"), F.count(F.lit(1)).alias("n")
-    )
-    return out.filter(F.col("n") >= minimum)
+    aggs = [correlation(a, b).alias("pearson_ic"), correlation(F.col("rank_x"), F.col("rank_y")).alias("rank_ic"), same.alias("directional_accuracy"), F.count(a).alias("n")]
+    if not coverage:
+        return ranked.groupBy(*keys).agg(*aggs).filter(F.col("n") >= minimum)
+    out = ranked.groupBy(*keys).agg(*aggs, F.count(F.when(F.col("ic_present"), 1)).alias("present"), F.count(F.lit(1)).alias("rows"))
+    return out.withColumns({c: F.when(F.col("n") >= minimum, F.col(c)) for c in ("pearson_ic", "rank_ic", "directional_accuracy")})
 
 
-def prediction_metrics(predictions: DataFrame, prediction: str = "prediction", target: str = "target") -> tuple[DataFrame, DataFrame]:
-    """(daily, summary): per-date correlations, and their means in one row; undefined days are skipped in means."""
-    daily = daily_ic(predictions, ["date"], prediction, target)
+def prediction_metrics(predictions: DataFrame, prediction: str = "prediction", target: str = "target", keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(daily, summary): correlations per (keys, date), and their means in one row (per key); undefined days are skipped in means."""
+    daily = daily_ic(predictions, [*keys, "date"], prediction, target)
     spread = F.stddev_samp("rank_ic")
-    summary = daily.agg(
+    summary = daily.groupBy(*keys).agg(
         F.avg("pearson_ic").alias("mean_pearson_ic"), F.avg("rank_ic").alias("mean_rank_ic"), (F.avg("rank_ic") / F.when(spread > 0, spread)).alias("rank_ic_ir"),
         F.avg("directional_accuracy").alias("directional_accuracy"), F.sum("n").alias("observations"),
     )
@@ -69,18 +77,24 @@ def performance(returns: DataFrame, value: str, keys: Sequence[str] = (), order:
     return grouped.withColumn("annualized_return", annual).select(*keys, "annualized_return", "annualized_volatility", (F.col("annualized_return") / F.when(vol > 0, vol)).alias("sharpe"), "maximum_drawdown", "periods")
 
 
-def deflated_sharpe(returns: DataFrame, value: str, trials: int = 1) -> float:
-    """Probability that the observed per-period Sharpe ratio exceeds the best of ``trials`` skill-less ones; NaN below four periods or without spread.
-
-    The five moments are aggregated by the cluster; the normal distribution is evaluated here.
-    """
+def return_moments(returns: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key: n, mean, std, skew and kurt (bias-corrected) of the non-missing returns."""
     x = F.when(~F.isnan(value), F.col(value))
-    row = returns.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), sample_skewness(x).alias("skew"), sample_kurtosis(x).alias("kurt")).first()
-    if row is None or row["n"] < 4 or trials < 1 or not row["std"]:
+    return returns.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), sample_skewness(x).alias("skew"), sample_kurtosis(x).alias("kurt"))
+
+
+def sharpe_probability(n: int, mean: float | None, std: float | None, skew: float | None, kurt: float | None, trials: int = 1) -> float:
+    """Probability that a per-period Sharpe ratio with these moments exceeds the best of ``trials`` skill-less ones; NaN below four periods or without spread."""
+    if n < 4 or trials < 1 or not std:
         return math.nan
-    sharpe, normal, best = row["mean"] / row["std"], NormalDist(), 0.0
+    sharpe, normal, best = mean / std, NormalDist(), 0.0
     if trials > 1:
         gamma = 0.5772156649
         best = (1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * math.e))
-    variance = 1 - row["skew"] * sharpe + row["kurt"] / 4 * sharpe**2
-    return normal.cdf((sharpe - best) * math.sqrt(row["n"] - 1) / math.sqrt(variance)) if variance > 0 else math.nan
+    variance = 1 - skew * sharpe + kurt / 4 * sharpe**2
+    return normal.cdf((sharpe - best) * math.sqrt(n - 1) / math.sqrt(variance)) if variance > 0 else math.nan
+
+
+def deflated_sharpe(returns: DataFrame, value: str, trials: int = 1) -> float:
+    """``sharpe_probability`` of a series: the cluster aggregates five moments, the normal distribution is evaluated here."""
+    return sharpe_probability(*return_moments(returns, value).first(), trials)

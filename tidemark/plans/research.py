@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import canonical_ticker, finite, latest_rows, not_nan, table
+from tidemark.functions.common import canonical_ticker, checkpointed, finite, latest_rows, not_nan, table
 from tidemark.functions.exprs import add_business_days, percentile_rank
 from tidemark.operators import asof, backtest, diagnostics, factors, features, fundamentals, labels, metrics, models, panel, portfolio, signals
 
@@ -314,42 +314,44 @@ def overfitting(spark: SparkSession, d: str) -> DataFrame:
 
 def ridge_one_feature(spark: SparkSession, d: str) -> DataFrame:
     """M7: walk-forward ridge on one feature."""
-    frame = features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "target")
+    frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "target"))
     return rounded(models.walk_forward(frame, ["return_5d"], train=TRAIN, test=TEST, embargo=EMBARGO).drop("target"))
 
 
 def ridge_rolling(spark: SparkSession, d: str) -> DataFrame:
     """M7: the same with a rolling training window."""
-    frame = features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "target")
+    frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "target"))
     return rounded(models.walk_forward(frame, ["return_5d"], train=TRAIN, test=TEST, embargo=EMBARGO, expanding=False).drop("target"))
 
 
 def ridge_many(spark: SparkSession, d: str) -> DataFrame:
     """M7: walk-forward ridge on eight standardised features."""
-    return rounded(models.walk_forward(research_frame(spark, d), [f"{f}_zscore" for f in SCORED], train=TRAIN, test=TEST, embargo=EMBARGO))
+    columns = [f"{f}_zscore" for f in SCORED]
+    frame = checkpointed(research_frame(spark, d).select("date", "ticker", "target", *columns))
+    return rounded(models.walk_forward(frame, columns, train=TRAIN, test=TEST, embargo=EMBARGO))
 
 
 def nested_ridge(spark: SparkSession, d: str) -> DataFrame:
     """M8: predictions with the penalty chosen inside each training window."""
-    frame = features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target")
+    frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target"))
     return rounded(models.nested_walk_forward(frame, ["return_5d", "volatility_20d"], {"light": 1.0, "heavy": 1e5}, train=TRAIN, test=TEST, embargo=EMBARGO, inner=INNER)[0])
 
 
 def nested_selections(spark: SparkSession, d: str) -> DataFrame:
     """M8: what was chosen and why."""
-    frame = features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target")
+    frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target"))
     return rounded(models.nested_walk_forward(frame, ["return_5d", "volatility_20d"], {"light": 1.0, "heavy": 1e5}, train=TRAIN, test=TEST, embargo=EMBARGO, inner=INNER)[1])
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     """M9: leave one feature family out."""
-    frame = features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "return_20d", "volatility_20d", "relative_volume_20d", "target")
+    frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "return_20d", "volatility_20d", "relative_volume_20d", "target"))
     return rounded(models.ablation(frame, {"trend": ["return_5d", "return_20d"], "risk": ["volatility_20d"], "volume": ["relative_volume_20d"]}, train=TRAIN, test=TEST, embargo=EMBARGO))
 
 
 def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
     """M6: walk-forward boosted trees, with few trees per fold."""
-    frame = features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target")
+    frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target"))
     return models.walk_forward(frame, ["return_5d", "volatility_20d"], model="gbt", train=150, test=60, embargo=EMBARGO, parameters={"max_iter": 5})
 
 
@@ -383,8 +385,9 @@ def json_tickers(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole run: labels, features, walk-forward ridge, weekly books, backtest, summary as (metric, value)."""
-    frame = research_frame(spark, d)
-    scored = models.walk_forward(frame, [f"{f}_zscore" for f in SCORED], train=TRAIN, test=TEST, embargo=EMBARGO)
+    columns = [f"{f}_zscore" for f in SCORED]
+    frame = checkpointed(research_frame(spark, d).select("date", "ticker", "target", "sector", "beta", "stock_forward_return", *columns))
+    scored = models.walk_forward(frame, columns, train=TRAIN, test=TEST, embargo=EMBARGO)
     context = frame.select("date", "ticker", "sector", "beta", "stock_forward_return")
     weekly = scored.join(backtest.weekly_dates(scored), "date", "left_semi").join(context, ["date", "ticker"])
     tested = backtest.run_backtest(portfolio.projection_portfolio(weekly, quantile=0.2, max_weight=0.5))
