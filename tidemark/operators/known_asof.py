@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import fresh, require_columns
+from tidemark.functions.common import checkpointed, fresh, require_columns
 
 
 def version_points(records: DataFrame, order: Sequence[str], record_id: str, known_from: Column, valid_from: Column) -> DataFrame:
@@ -80,7 +80,7 @@ def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], re
     """
     require_columns(events, ["entity", "ts"], "events")
     require_columns(records, ["entity", "feature", *order, record_id], "records")
-    points = version_points(records, order, record_id, known_from, valid_from)
+    points = checkpointed(version_points(records, order, record_id, known_from, valid_from))  # read several times below
     days, wide = change_days(points)
     if differing_only:
         wide = wide.filter(~F.coalesce(F.col("known"), F.lit(0)).eqNullSafe(F.coalesce(F.col("plain"), F.lit(0))))
