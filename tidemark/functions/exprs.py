@@ -19,9 +19,13 @@ def trailing(n: int, entity: str = "ticker", order: str = "date", end: int = 0)
 
 
 def rolling(agg: Callable[[Column], Column], x: Column, n: int, min_periods: int | None = None, entity: str = "ticker", order: str = "date", end: int = 0) -> Column:
-    """An aggregate of the last ``n`` rows, null unless at least ``min_periods`` (default ``n``) of them are non-null."""
-    w = trailing(n, entity, order, end)
-    return F.when(F.count(x).over(w) >= (n if min_periods is None else min_periods), agg(x).over(w))
+    """An aggregate of the last ``n`` rows, null unless at least ``min_periods`` (default ``n``) of them are non-null.
+
+    The non-null rows are counted as the difference of two running counts, which cost one step a row and not ``n``.
+    """
+    upto = by_entity(entity, order)
+    there = F.count(x).over(upto.rowsBetween(Window.unboundedPreceding, end)) - F.count(x).over(upto.rowsBetween(Window.unboundedPreceding, end - n))
+    return F.when(there >= (n if min_periods is None else min_periods), agg(x).over(trailing(n, entity, order, end)))
 
 
 def middle(x: Column) -> Column:
