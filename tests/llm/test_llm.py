@@ -173,7 +173,7 @@ def test_leaks_match_brute_force(spark):
     want = brute_leaks(docs, items, 12)
     assert len(want) > 40
     assert set(rows(leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text"), "item_id", "doc_id")) == want
-    assert set(rows(leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text", block_chars=900), "item_id", "doc_id")) == want
+    assert set(rows(leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text", block_chars=900, block_items=5), "item_id", "doc_id")) == want
     assert leakage.leaked_items(a.limit(0), "doc_id", "text", b, "item_id", "text").count() == 0
     assert leakage.leaked_items(a, "doc_id", "text", b.limit(0), "item_id", "text").count() == 0
 

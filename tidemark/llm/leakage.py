@@ -146,11 +146,11 @@ class ItemIndex:
         return sorted(found)
 
 
-def item_blocks(items: DataFrame, identifier: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in order of id, in lists of at most ``block_chars`` characters (or one item)."""
+def item_blocks(items: DataFrame, identifier: str, text: str, block_chars: int, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in order of id, in lists of at most ``block_items`` items and ``block_chars`` characters (or one item)."""
     held, size = [], 0
     for r in items.select(F.col(identifier).alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        if held and size + len(r["t"]) > block_chars:
+        if held and (size + len(r["t"]) > block_chars or len(held) == block_items):
             yield held
             held, size = [], 0
         held.append((r["i"], r["t"]))
@@ -159,13 +159,13 @@ def item_blocks(items: DataFrame, identifier: str, text: str, block_chars: int)
         yield held
 
 
-def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, window: int = 24, block_chars: int = 500_000) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, window: int = 24, block_chars: int = 200_000, block_items: int = 512) -> DataFrame:
     """Pairs (item_id, doc_id): the document holds ``run`` or more consecutive words of the item.
 
     Every document is cut into passages of ``window`` words that overlap by ``run - 1``, and every passage is a query against the items'
     index; all items reaching their threshold are retrieved and then verified word for word. The corpus is not shuffled. The items
-    are the stated query set: they are read in blocks of at most ``block_chars`` characters, which bounds each
-    block's index (a few dozen MB), and the corpus is scanned once per block; nothing is capped.
+    are the stated query set: they are read in blocks of at most ``block_items`` items and ``block_chars`` characters, which bounds each
+    block's index (terms times items, some 65 MB at most), and the corpus is scanned once per block; nothing is capped.
 
     Null and empty texts and those with fewer than ``run`` words match nothing; repeated rows give one pair. Items repeated under
     another id are found under each.
@@ -175,7 +175,7 @@ def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("t"))
     schema = f"item_id {dict(items.dtypes)[item_id]}, doc_id {dict(docs.dtypes)[doc_id]}"
     out = source.select(F.lit(None).cast(dict(items.dtypes)[item_id]).alias("item_id"), "doc_id").filter(F.lit(False))
-    for block in item_blocks(items, item_id, item_text, block_chars):
+    for block in item_blocks(items, item_id, item_text, block_chars, block_items):
         index = ItemIndex(block, run)
 
         def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
