@@ -28,42 +28,53 @@ def clean_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
-    """Each ticker's last stated sector."""
+    """Each ticker's last stated sector, as the SQL of the queries that use it has it; on earlier dates this looks ahead (see ``dated_panel``)."""
     rows = table(spark, d, "universe_history").filter("sector is not null").select(canonical_ticker("ticker").alias("ticker"), "effective_date", "as_of", "record_id", "sector")
     return latest_rows(rows, ["ticker"], ["effective_date", "as_of", "record_id"], ["sector"])
 
 
+def memberships(spark: SparkSession, d: str) -> DataFrame:
+    """The membership record that counts of each ticker and effective date."""
+    history = table(spark, d, "universe_history").withColumn("ticker", canonical_ticker("ticker"))
+    return latest_rows(history, ["ticker", "effective_date"], ["as_of", "record_id"], ["metadata_available_date", "in_universe", "sector"])
+
+
+def dated_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The clean panel with the sector in force on each bar's date, null while it wasn't available."""
+    return asof.attach_membership(clean_panel(spark, d), memberships(spark, d), check=False).drop("in_universe", "metadata_available_date")
+
+
 def benchmark(spark: SparkSession, d: str) -> DataFrame:
     """Mean open and close of each date."""
     return clean_panel(spark, d).groupBy("date").agg(F.avg("open").alias("open"), F.avg("close").alias("close"))
 
 
-def labeled(spark: SparkSession, d: str) -> DataFrame:
-    """The clean panel with beta and forward residual returns."""
-    return labels.residual_return_target(clean_panel(spark, d), benchmark(spark, d))
+def labeled(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
+    """The clean panel, with ``dated`` also its sectors as of each date, with beta and forward residual returns."""
+    return labels.residual_return_target((dated_panel if dated else clean_panel)(spark, d), benchmark(spark, d))
 
 
-def research_frame(spark: SparkSession, d: str, names: tuple[str, ...] = SCORED) -> DataFrame:
-    """Labels, features, cross-sections of ``names``, sectors."""
-    raw = features.raw_features(labeled(spark, d)).join(sectors(spark, d), "ticker", "left")
-    return features.cross_section(raw, list(names))
+def research_frame(spark: SparkSession, d: str, names: tuple[str, ...] = SCORED, dated: bool = False) -> DataFrame:
+    """Labels, features, cross-sections of ``names``; with ``dated`` sectors as of each date."""
+    return features.cross_section(features.raw_features(labeled(spark, d, dated)), list(names))
 
 
-def signal_frame(spark: SparkSession, d: str) -> DataFrame:
+def signal_frame(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
     """The research frame with the four technical signals."""
-    return signals.technical_signals(research_frame(spark, d), ranks=False)
+    return signals.technical_signals(research_frame(spark, d, dated=dated), ranks=False)
 
 
-def reversal_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly predictions: the day's losers are expected to win."""
-    frame = features.raw_features(labeled(spark, d)).join(sectors(spark, d), "ticker", "left")
+def reversal_predictions(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
+    """Weekly predictions: the day's losers are expected to win. Sectors are the last stated ones, with ``dated`` those as of each date."""
+    frame = features.raw_features(labeled(spark, d, dated))
+    frame = frame if dated else frame.join(sectors(spark, d), "ticker", "left")
     weekly = frame.join(backtest.weekly_dates(frame), "date", "left_semi")
     return weekly.select("date", "ticker", (-F.col("return_1d")).alias("prediction"), "sector", "beta", "stock_forward_return", "target", "dollar_volume_20d", "volatility_20d")
 
 
-def reversal_book(spark: SparkSession, d: str) -> DataFrame:
+def reversal_book(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
     """Its neutral weekly books."""
-    return portfolio.projection_portfolio(reversal_predictions(spark, d), quantile=0.2, max_weight=0.5)
+    return portfolio.projection_portfolio(reversal_predictions(spark, d, dated), quantile=0.2, max_weight=0.5)
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
@@ -88,9 +99,7 @@ def universe_screen(spark: SparkSession, d: str) -> DataFrame:
 
 def membership_asof(spark: SparkSession, d: str) -> DataFrame:
     """The membership record in force on each bar's date, nulled while it wasn't available."""
-    history = table(spark, d, "universe_history").withColumn("ticker", canonical_ticker("ticker"))
-    counted = latest_rows(history, ["ticker", "effective_date"], ["as_of", "record_id"], ["metadata_available_date", "in_universe", "sector"])
-    return asof.attach_membership(clean_panel(spark, d).select("date", "ticker", "close"), counted, check=False)
+    return asof.attach_membership(clean_panel(spark, d).select("date", "ticker", "close"), memberships(spark, d), check=False)
 
 
 def facts_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +166,8 @@ def neutral_signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neutral_two_factors(spark: SparkSession, d: str) -> DataFrame:
-    """M1 with several factors."""
-    frame = features.raw_features(labeled(spark, d)).join(sectors(spark, d), "ticker", "left").withColumn("signal", -F.col("return_1d"))
+    """M1 with several factors, sectors as of each date."""
+    frame = features.raw_features(labeled(spark, d, dated=True)).withColumn("signal", -F.col("return_1d"))
     return rounded(signals.neutralize(frame, "signal", ["beta", "volatility_20d"], "sector").select("date", "ticker", "signal_neutral"), 7)
 
 
@@ -293,15 +302,15 @@ def holding_factors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
-    """Factor attribution of the net returns."""
+    """Factor attribution of the net returns, of books with sectors as of each date."""
     held = factors.holding_period_factors(factor_series(spark, d), backtest.weekly_dates(clean_panel(spark, d)))
-    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d)), held)
+    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d, dated=True)), held)
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
 
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    """Probability after correction for four trials."""
-    p = metrics.deflated_sharpe(backtest.run_backtest(reversal_book(spark, d)), "net_return", 4)
+    """Probability after correction for four trials, of books with sectors as of each date."""
+    p = metrics.deflated_sharpe(backtest.run_backtest(reversal_book(spark, d, dated=True)), "net_return", 4)
     return spark.createDataFrame([(p,)], "deflated_sharpe_probability double")
 
 
@@ -356,13 +365,13 @@ def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def optimized_portfolio(spark: SparkSession, d: str) -> DataFrame:
-    """M4, M5: optimised books."""
-    return portfolio.optimized_portfolios(reversal_predictions(spark, d), quantile=0.2, factors=["beta"], max_weight=0.3)
+    """M4, M5: optimised books, sectors as of each date."""
+    return portfolio.optimized_portfolios(reversal_predictions(spark, d, dated=True), quantile=0.2, factors=["beta"], max_weight=0.3)
 
 
 def signal_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Each signal's own book and backtest."""
-    return backtest.evaluate_signals(signal_frame(spark, d), SIGNALS[:2], quantile=0.2, max_weight=0.5)
+    """Each signal's own book and backtest, sectors as of each date."""
+    return backtest.evaluate_signals(signal_frame(spark, d, dated=True), SIGNALS[:2], quantile=0.2, max_weight=0.5)
 
 
 def json_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -384,9 +393,9 @@ def json_tickers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The whole run: labels, features, walk-forward ridge, weekly books, backtest, summary as (metric, value)."""
+    """The whole run: sectors as of each date, labels, features, walk-forward ridge, weekly books, backtest, summary as (metric, value)."""
     columns = [f"{f}_zscore" for f in SCORED]
-    frame = checkpointed(research_frame(spark, d).select("date", "ticker", "target", "sector", "beta", "stock_forward_return", *columns))
+    frame = checkpointed(research_frame(spark, d, dated=True).select("date", "ticker", "target", "sector", "beta", "stock_forward_return", *columns))
     scored = models.walk_forward(frame, columns, train=TRAIN, test=TEST, embargo=EMBARGO)
     context = frame.select("date", "ticker", "sector", "beta", "stock_forward_return")
     weekly = scored.join(backtest.weekly_dates(scored), "date", "left_semi").join(context, ["date", "ticker"])
