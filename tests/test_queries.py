@@ -46,3 +46,8 @@ def test_books_take_sectors_as_of_each_date(spark, folder, monkeypatch):
         got = {(r["ticker"], r["date"].day): r["sector"] for r in frame.collect()}
         fridays = {k: s for k, s in got.items() if k[1] in (5, 12, 19)}
         assert fridays == {("A", 5): "Tech", ("A", 12): None, ("A", 19): "Energy", ("B", 5): None, ("B", 12): None, ("B", 19): None}
+
+
+def test_every_signal_is_evaluated(spark, folder, monkeypatch):
+    given, _ = handed(monkeypatch, research.backtest, "evaluate_signals", research.signal_evaluation, spark, folder)
+    assert list(given[1]) == list(research.signals.TECHNICAL_SIGNALS) and len(given[1]) == 4

@@ -59,9 +59,9 @@ def research_frame(spark: SparkSession, d: str, names: tuple[str, ...] = SCORED,
     return features.cross_section(features.raw_features(labeled(spark, d, dated)), list(names))
 
 
-def signal_frame(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
+def signal_frame(spark: SparkSession, d: str) -> DataFrame:
     """The research frame with the four technical signals."""
-    return signals.technical_signals(research_frame(spark, d, dated=dated), ranks=False)
+    return signals.technical_signals(research_frame(spark, d), ranks=False)
 
 
 def reversal_predictions(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
@@ -370,8 +370,11 @@ def optimized_portfolio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signal_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Each signal's own book and backtest, sectors as of each date."""
-    return backtest.evaluate_signals(signal_frame(spark, d, dated=True), SIGNALS[:2], quantile=0.2, max_weight=0.5)
+    """Each signal's own book and backtest, sectors as of each date. Books are weekly and cross-sections within a date, so other dates are left out first."""
+    raw = features.raw_features(labeled(spark, d, dated=True)).select("date", "ticker", "sector", "beta", "stock_forward_return", "target", *SCORED)
+    weekly = checkpointed(raw.join(backtest.weekly_dates(raw), "date", "left_semi"))
+    frame = signals.technical_signals(features.cross_section(weekly, list(SCORED)), ranks=False)
+    return backtest.evaluate_signals(frame, SIGNALS, quantile=0.2, max_weight=0.5)
 
 
 def json_facts(spark: SparkSession, d: str) -> DataFrame:
