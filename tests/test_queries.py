@@ -51,3 +51,9 @@ def test_books_take_sectors_as_of_each_date(spark, folder, monkeypatch):
 def test_every_signal_is_evaluated(spark, folder, monkeypatch):
     given, _ = handed(monkeypatch, research.backtest, "evaluate_signals", research.signal_evaluation, spark, folder)
     assert list(given[1]) == list(research.signals.TECHNICAL_SIGNALS) and len(given[1]) == 4
+
+
+def test_boosted_trees_are_not_cut(spark, folder, monkeypatch):
+    _, named = handed(monkeypatch, research.models, "walk_forward", research.boosted_trees, spark, folder)
+    assert (named["model"], named["train"], named["test"]) == ("gbt", research.TRAIN, research.TEST)
+    assert "max_iter" not in (named.get("parameters") or {})

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,17 +188,23 @@ def _walk_forward_trees(frame: DataFrame, features: list[str], target: str, date
     day = F.col("date").cast("date")
     out = frame.sparkSession.createDataFrame([], schema)
     medians = window_medians(frame, features, target, dates, [(s.fit_from, s.fit_to) for s in spans])
-    for s in spans:
+
+    def scored(s: Span) -> DataFrame | None:
         mid = medians[s.fit_from, s.fit_to]
         used = [f for f, m in zip(features, mid, strict=True) if m is not None]
         fill = {f: F.coalesce(F.when(~F.isnan(f), F.col(f).cast("double")), F.lit(m)) for f, m in zip(features, mid, strict=True) if m is not None}
         if not used:
-            continue
+            return None
         rows = VectorAssembler(inputCols=used, outputCol="gbt_features").transform(frame.withColumns(fill))
         fit = rows.filter((day >= F.lit(dates[s.fit_from])) & (day < F.lit(dates[s.fit_to]))).filter(F.col(target).isNotNull() & ~F.isnan(target))
         gbt = GBTRegressor(featuresCol="gbt_features", labelCol=target, maxIter=o["max_iter"], maxDepth=o["max_depth"], stepSize=o["step_size"], subsamplingRate=o["subsample"], featureSubsetStrategy=str(o["feature_subset"]), seed=o["seed"])
-        scored = gbt.fit(fit).transform(rows.filter((day >= F.lit(dates[s.from_])) & (day <= F.lit(dates[s.to - 1]))))
-        out = out.unionByName(scored.select(day.alias("date"), "ticker", F.col(target).cast("double").alias(target), "prediction", F.lit(s.fold).alias("fold")))
+        predicted = gbt.fit(fit).transform(rows.filter((day >= F.lit(dates[s.from_])) & (day <= F.lit(dates[s.to - 1]))))
+        return predicted.select(day.alias("date"), "ticker", F.col(target).cast("double").alias(target), "prediction", F.lit(s.fold).alias("fold"))
+
+    with ThreadPool(4) as pool:  # a tree is many short jobs; folds don't depend on each other
+        done = pool.map(inheritable_thread_target(frame.sparkSession)(scored), spans, 1)
+    for one in done:
+        out = out if one is None else out.unionByName(one)
     return out
 
 

@@ -359,9 +359,9 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    """M6: walk-forward boosted trees, with few trees per fold."""
+    """M6: walk-forward boosted trees, 300 per fold."""
     frame = checkpointed(features.raw_features(labeled(spark, d)).select("date", "ticker", "return_5d", "volatility_20d", "target"))
-    return models.walk_forward(frame, ["return_5d", "volatility_20d"], model="gbt", train=150, test=60, embargo=EMBARGO, parameters={"max_iter": 5})
+    return models.walk_forward(frame, ["return_5d", "volatility_20d"], model="gbt", train=TRAIN, test=TEST, embargo=EMBARGO)
 
 
 def optimized_portfolio(spark: SparkSession, d: str) -> DataFrame:
