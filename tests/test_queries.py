@@ -57,3 +57,9 @@ def test_boosted_trees_are_not_cut(spark, folder, monkeypatch):
     _, named = handed(monkeypatch, research.models, "walk_forward", research.boosted_trees, spark, folder)
     assert (named["model"], named["train"], named["test"]) == ("gbt", research.TRAIN, research.TEST)
     assert "max_iter" not in (named.get("parameters") or {})
+
+
+@pytest.mark.parametrize("query", [research.ridge_many, research.pipeline])
+def test_models_take_every_feature(spark, folder, monkeypatch, query):
+    given, _ = handed(monkeypatch, research.models, "walk_forward", query, spark, folder)
+    assert list(given[1]) == [f"{f}_zscore" for f in research.features.RAW_FEATURES] and set(given[1]) <= set(given[0].columns)

@@ -334,9 +334,9 @@ def ridge_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ridge_many(spark: SparkSession, d: str) -> DataFrame:
-    """M7: walk-forward ridge on eight standardised features."""
-    columns = [f"{f}_zscore" for f in SCORED]
-    frame = checkpointed(research_frame(spark, d).select("date", "ticker", "target", *columns))
+    """M7: walk-forward ridge on all standardised features."""
+    columns = [f"{f}_zscore" for f in features.RAW_FEATURES]
+    frame = checkpointed(research_frame(spark, d, features.RAW_FEATURES).select("date", "ticker", "target", *columns))
     return rounded(models.walk_forward(frame, columns, train=TRAIN, test=TEST, embargo=EMBARGO))
 
 
@@ -397,8 +397,8 @@ def json_tickers(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole run: sectors as of each date, labels, features, walk-forward ridge, weekly books, backtest, summary as (metric, value)."""
-    columns = [f"{f}_zscore" for f in SCORED]
-    frame = checkpointed(research_frame(spark, d, dated=True).select("date", "ticker", "target", "sector", "beta", "stock_forward_return", *columns))
+    columns = [f"{f}_zscore" for f in features.RAW_FEATURES]
+    frame = checkpointed(research_frame(spark, d, features.RAW_FEATURES, dated=True).select("date", "ticker", "target", "sector", "beta", "stock_forward_return", *columns))
     scored = models.walk_forward(frame, columns, train=TRAIN, test=TEST, embargo=EMBARGO)
     context = frame.select("date", "ticker", "sector", "beta", "stock_forward_return")
     weekly = scored.join(backtest.weekly_dates(scored), "date", "left_semi").join(context, ["date", "ticker"])
