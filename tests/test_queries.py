@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from tidemark.operators import backtest, metrics
 from tidemark.plans import research
 
 
@@ -63,3 +65,15 @@ def test_boosted_trees_are_not_cut(spark, folder, monkeypatch):
 def test_models_take_every_feature(spark, folder, monkeypatch, query):
     given, _ = handed(monkeypatch, research.models, "walk_forward", query, spark, folder)
     assert list(given[1]) == [f"{f}_zscore" for f in research.features.RAW_FEATURES] and set(given[1]) <= set(given[0].columns)
+
+
+def test_signals_under_liquidity_costs(spark):
+    rng = np.random.default_rng(3)
+    days = [x.date() for x in pd.bdate_range("2024-01-01", periods=40)][4::5]
+    rows = [(day, f"t{i:03d}", "ABC"[i % 3], float(rng.uniform(0.5, 1.5)), float(rng.normal() * 0.02), float(rng.normal() * 0.02), float(rng.normal()), 1e6, 0.02) for day in days for i in range(60)]
+    df = spark.createDataFrame(rows, "date date, ticker string, sector string, beta double, stock_forward_return double, target double, s double, dollar_volume_20d double, volatility_20d double")
+    book = backtest.projection_portfolio(df.withColumn("prediction", df["s"]), quantile=0.1, max_weight=0.5)
+    want = metrics.performance(backtest.run_backtest(book, cost_model="liquidity"), "net_return").first()
+    got = backtest.evaluate_signals(df, ["s"], max_weight=0.5, cost_model="liquidity").first()
+    assert got["annualized_return"] == pytest.approx(want["annualized_return"]) and got["periods"] == want["periods"] == 8
+    assert got["annualized_return"] != pytest.approx(backtest.evaluate_signals(df, ["s"], max_weight=0.5).first()["annualized_return"])

@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     screen = subs.add_parser("signals", help="evaluate each technical signal by itself")
     _common(screen)
     screen.add_argument("--neutral", action="store_true")
+    screen.add_argument("--cost-model", choices=["flat", "liquidity"], default="flat")
     universe = subs.add_parser("universe", help="change log and coverage from constituent snapshots")
     universe.add_argument("--snapshots", required=True)
     universe.add_argument("--prices", required=True)
@@ -147,7 +148,7 @@ def screen(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
             frame = signals.neutralize(frame, s)
         names = [f"{s}_neutral" for s in names]
     frame = checkpointed(frame.withColumn("year", F.year("date")))
-    table = backtest.evaluate_signals(frame, names, cost_bps=o.cost_bps, quantile=o.quantile, max_weight=o.max_weight)
+    table = backtest.evaluate_signals(frame, names, cost_bps=o.cost_bps, quantile=o.quantile, max_weight=o.max_weight, cost_model=o.cost_model)
     write_csv(table, f"{out}/signal_evaluation.csv")
     write_csv(diagnostics.signal_summary(frame, names), f"{out}/signal_library_summary.csv")
     write_csv(diagnostics.signal_correlation(frame, names), f"{out}/signal_correlation.csv")
@@ -157,7 +158,7 @@ def screen(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     returns = None
     for s in names:
         book = portfolio.projection_portfolio(weekly.withColumn("prediction", F.col(s)), quantile=o.quantile, max_weight=o.max_weight)
-        one = backtest.run_backtest(book, cost_bps=o.cost_bps)
+        one = backtest.run_backtest(book, cost_model=o.cost_model, cost_bps=o.cost_bps)
         write_csv(one, f"{out}/backtest_{s}.csv")
         one = one.select("date", F.col("net_return").alias(s))
         returns = one if returns is None else returns.join(one, "date", "full_outer")
