@@ -126,6 +126,43 @@ def test_unifier_prefers_one_script():
     assert unify("x" * 100_000 + "а") == "x" * 100_000 + "a"
 
 
+def test_ngram_scores_choose_the_path(spark):
+    plain, latin = lookalike.Unifier(), lookalike.Unifier({(0, ord("a")): 50, (ord("a"), ord("c")): 50, (ord("c"), ord("e")): 50})
+    russian = lookalike.train_unifier(spark.createDataFrame([("сорт всех сор " * 200,)], "t string"), "t")
+    assert plain("the cop sees") == "the cop sees" == plain("the сор sees") and latin("мы асе") == "мы ace" and plain("мы асе") == "мы асе"
+    assert russian("the cop sees") == russian("the сор sees") == "the сор sees" and russian("the copper helps") == "the copper helps"
+    assert latin("мы ace") == latin("мы асе") != plain("мы асе")
+
+
+def test_compatibility_is_a_parameter():
+    assert lookalike.Unifier(compatibility="full")("ﬁn ｶ m²") == "fin カ m2" and lookalike.Unifier()("ﬁn ｶ m² Ａ") == "ﬁn ｶ m² A"
+    with pytest.raises(ValueError, match="compatibility"):
+        lookalike.Unifier(compatibility="some")
+
+
+def brute_classes(data):
+    unify, ids = lookalike.Unifier(), {}
+    for i, t in {(i, t) for i, t in data if t is not None}:
+        ids.setdefault(unify(t), []).append((i, t))
+    return sorted((i, min(j for j, _ in own), n) for own in ids.values() for i, t in own if (n := sum(u != t for _, u in own)))
+
+
+def test_copies_of_a_text_are_not_multiplied(spark):
+    data = [(i, "one roof") for i in range(9000)] + [(9001, "оne roof"), (9002, "one\u00a0roof"), (9003, "two")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    pairs = lookalike.lookalike_pairs(df, "doc_id", "text", chunk=700)
+    assert set(map(tuple, pairs.collect())) == {(i, j) for i in range(9000) for j in (9001, 9002)} | {(9001, 9002)}
+    assert rows(lookalike.lookalike_classes(df, "doc_id", "text"), "id", "class_id", "links") == sorted(brute_classes(data), key=str)
+
+
+def test_lookalike_classes(spark):
+    data = [(1, "one roof"), (2, "one roof"), (3, "оne roof"), (5, "one rooF"), (6, None), (7, ""), (8, "\u200b"), (9, "other"), (3, "оne roof")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("links", F.lit(1))
+    out = lookalike.lookalike_classes(df, "doc_id", "text")
+    assert rows(out, "id", "class_id", "links") == sorted(brute_classes(data), key=str) == sorted([(1, 1, 1), (2, 1, 1), (3, 1, 2), (7, 7, 1), (8, 7, 1)], key=str)
+    assert lookalike.lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
 def test_lookalike_pairs(spark):
     data = [(1, "one roof"), (2, "one roof"), (3, "оne roof"), (4, "one roof"), (5, "one rooF"), (6, None), (7, ""), (8, "​"), (9, "other"), (10, "one  roof"), (3, "оne roof")]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("c1", F.lit(1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import canonical_ticker, day_string, latest_rows, not_nan, table
 from tidemark.llm.leakage import leaked_items
-from tidemark.llm.lookalike import lookalike_pairs, train_unifier, unify_texts
+from tidemark.llm.lookalike import lookalike_classes, lookalike_pairs, train_unifier, unify_texts
 from tidemark.llm.mixture import draw_mix
 from tidemark.llm.quantiles import group_percentiles, merge_sketches, read_percentiles, sketch_groups
 from tidemark.llm.top_n import top_n
@@ -72,6 +72,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page that has a look-alike with its class, and the number of pages it is linked with."""
+    return lookalike_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p10_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's text in its unified form."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,7 +84,7 @@ def p10_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p6_percentiles": p6_percentiles, "p6_monthly": p6_monthly, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_unified": p10_unified,
+    "p2_found": p2_found, "p6_percentiles": p6_percentiles, "p6_monthly": p6_monthly, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_unified": p10_unified,
 }
 
 TICKER = "upper(replace(trim(ticker, ' ' || chr(9) || chr(10) || chr(13)), '.', '-'))"
