@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import leakage, lookalike, mixture, quantiles
@@ -179,40 +180,98 @@ def test_bigram_counts_cover_all_texts(spark):
     assert counts[ord("a"), ord("b")] == 2 and counts[0, ord("a")] == 2 and counts[ord("а"), ord("б")] == 1 and len(counts) == 4
 
 
+def brute_words(text):
+    """Words by characters: of the same look, in one case; a mark belongs to the letter before it."""
+    look = unicodedata.normalize("NFD", lookalike.strip_compat(text)).translate(lookalike._SKELETON)
+    words, word = [], ""
+    for ch in look + " ":
+        if ch.isalnum() or (word and "\u0300" <= ch <= "\u036f"):
+            word += ch
+        else:
+            words += [word] if word else []
+            word = ""
+    return [w.casefold().translate(lookalike._FOLD_AFTER) for w in words]
+
+
 def brute_leaks(docs, items, run):
     grams = {}
     for i, t in items:
-        w = leakage.words_of(t or "")
+        w = brute_words(t or "")
         for s in range(len(w) - run + 1):
             grams.setdefault(tuple(w[s : s + run]), set()).add(i)
-    return {(i, d) for d, t in docs for w in [leakage.words_of(t or "")] for s in range(len(w) - run + 1) for i in grams.get(tuple(w[s : s + run]), ())}
+    return {(i, d) for d, t in docs for w in [brute_words(t or "")] for s in range(len(w) - run + 1) for i in grams.get(tuple(w[s : s + run]), ())}
 
 
-def test_leaks_match_brute_force(spark):
-    rng = random.Random(9)
-    vocab = ["the", "of", "a"] * 6 + [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 40)))) for i in range(60)]
-    items += [(100, items[3][1]), (101, None), (102, ""), (103, "the the " * 10)]
+def planted(seed, n_items, n_docs):
+    rng = random.Random(seed)
+    vocab = ["the", "of", "a"] * 6 + [f"w{i}" for i in range(60)] + ["soufflé", "façade", "Straße", "naïve", "über", "cliché"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 40)))) for i in range(n_items)]
     docs = []
-    for d in range(300):
+    for d in range(n_docs):
         words = [rng.choice(vocab) for _ in range(rng.randrange(0, 120))]
         if rng.random() < 0.5:
-            source = rng.choice(items)[1] or ""
-            part = source.split()
+            part = rng.choice(items)[1].split()
             n = rng.randrange(8, 20)
             s = rng.randrange(max(1, len(part) - n + 1))
             at = rng.randrange(len(words) + 1)
             words[at:at] = [disguise(w.upper() if rng.random() < 0.2 else w, rng) for w in part[s : s + n]]
         docs.append((d, rng.choice([" ", "\n", ", "]).join(words)))
-    docs += [(1000, None), (1001, ""), (1002, " ".join(["the"] * 50)), (1003, ("x " * 30_000) + items[0][1] + " " + items[1][1])]
-    a = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    return items, docs
+
+
+def test_words_keep_marks_and_disregard_case():
+    words = leakage.words_of
+    assert words("un soufflé, STRASSE") == words("un souffl\u0435\u0301, Straße") and words("fa\u0441\u0327ade") == words("façade") != words("facade")
+    assert words("na\u0456\u0308ve x_y 3.5%'s") == [*words("naïve"), "x", "y", "3", "5", "s"] and words("") == [] == words(" \u0301 ")
+
+
+def test_leaks_match_brute_force(spark):
+    items, docs = planted(9, 60, 300)
+    items += [(100, items[3][1]), (101, None), (102, ""), (103, "the the " * 10), (5, items[8][1])]
+    docs += [(1000, None), (1001, ""), (1002, " ".join(["the"] * 50)), (1003, ("x " * 30_000) + items[0][1] + " " + items[1][1]), (3, docs[3][1])]
+    a = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1)).repartition(3)
     b = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute_leaks(docs, items, 12)
     assert len(want) > 40
     assert set(rows(leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text"), "item_id", "doc_id")) == want
-    assert set(rows(leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text", block_chars=900, block_items=5), "item_id", "doc_id")) == want
+    assert set(rows(leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text", shard_words=200, chars=5000), "item_id", "doc_id")) == want
     assert leakage.leaked_items(a.limit(0), "doc_id", "text", b, "item_id", "text").count() == 0
     assert leakage.leaked_items(a, "doc_id", "text", b.limit(0), "item_id", "text").count() == 0
+    named = leakage.leaked_items(a, "doc_id", "text", b.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text"), "item_id", "text")
+    assert set(rows(named, "item_id", "doc_id")) == {(f"i{i}", d) for i, d in want}
+
+
+def test_retrieval_skips_and_misses_nothing():
+    rng = np.random.default_rng(3)
+    texts = [rng.choice(400, int(rng.integers(12, 60)), p=np.arange(400, 0, -1) / 80200).astype(np.uint64) for _ in range(300)]
+    frequency = Counter(w for t in texts for w in set(t.tolist()))
+    shard = leakage.Shard.build(list(range(300)), texts, frequency, 300, float(np.mean([len(t) for t in texts])), 12)
+    again = leakage.Shard.unpack(shard.ids, shard.pack(), 12)
+    words = np.concatenate([texts[i][:24] if rng.random() < 0.3 else rng.choice(500, 24).astype(np.uint64) for i in range(200)])
+    starts = np.arange(0, len(words) - 23, 24)
+    terms = again.numbers(words)
+    got = set(zip(*map(np.ndarray.tolist, again.retrieve(terms, starts, starts + 24, chunk=37)), strict=True))
+    impact = np.zeros((len(shard.vocabulary) + 1, shard.n), np.float32)
+    impact[np.repeat(np.arange(len(shard.vocabulary)), np.diff(shard.first)), shard.item] = shard.impact
+    scores = np.stack([impact[np.unique(terms[s : s + 24])].sum(0) for s in starts])
+    sure, never = scores >= shard.threshold + 1e-4, scores < shard.threshold - 1e-4
+    assert {(p, d) for p, d in zip(*np.nonzero(sure), strict=True)} <= got and not any(never[p, d] for p, d in got) and len(got) < 0.1 * scores.size
+
+
+def test_index_stays_off_the_driver(spark, monkeypatch):
+    from pyspark.serializers import CloudPickleSerializer
+
+    sizes, plans = [], []
+    for n in (240, 6000):
+        items, docs = planted(4, n, 40)
+        a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+        made = DataFrame.mapInArrow
+        monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema: (sizes.append(len(CloudPickleSerializer().dumps(f))), made(self, f, schema))[1])
+        out = leakage.leaked_items(a, "doc_id", "text", b, "item_id", "text", shard_words=20_000)
+        monkeypatch.setattr(DataFrame, "mapInArrow", made)
+        plans.append(out._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        assert set(rows(out, "item_id", "doc_id")) == brute_leaks(docs, items, 12)
+    assert plans == [1, 1] and max(sizes) < min(sizes) + 10_000
 
 
 def test_flow_routes_overlaps():
