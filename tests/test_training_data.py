@@ -167,16 +167,33 @@ def test_spikes_flat_lines_and_limits(spark):
     assert implausible_readings(df.limit(0), "ticker", "date", fields).count() == 0
 
 
-def test_forest_scores_do_not_depend_on_batching():
+@pytest.mark.parametrize("sample", [256, 40])
+def test_forest_scores_do_not_depend_on_batching(sample):
     rng = np.random.default_rng(0)
     group = np.repeat(np.arange(4), [150, 5, 1, 90])
     x = rng.normal(size=(5, len(group))).astype(np.float32)
-    x[0, 20] = 40
+    x[:, 20] = 15
     identity = mix(np.arange(4, dtype=np.uint64))
-    s = Settings()
-    whole = forest_scores(x, group, identity, np.abs(x[0]), s)
+    s = Settings(sample=sample)
+    whole = forest_scores(x, group, identity, s)
     for g in range(4):
         own = group == g
-        alone = forest_scores(x[:, own], np.zeros(own.sum(), int), identity[g : g + 1], np.abs(x[0, own]), s)
-        assert np.allclose(alone, whole[own])
-    assert whole[:150].argmax() == 20 and whole[20] > 0.7 and np.median(whole[:150]) < 0.5
+        assert np.allclose(forest_scores(x[:, own], np.zeros(own.sum(), int), identity[g : g + 1], s), whole[own])
+    assert whole[:150].argmax() == 20 and whole[20] > 0.65 and np.median(whole[:150]) < 0.5
+
+
+def test_the_forest_decides_which_readings_are_candidates(spark):
+    a = series("A", 3)
+    for i in (50, 120, 121):
+        a[i][2] *= 3
+    df = spark.createDataFrame(a, "ticker string, date date, close double, volume double")
+    found = {gate: rows(implausible_readings(df, "ticker", "date", [Field("close")], Settings(gate=gate), flagged_only=True), "day") for gate in (-1e9, 2.0, 1e9)}
+    assert found[2.0] == sorted([(day(i),) for i in (50, 120, 121)], key=str) and found[-1e9] == found[1e9] == []
+    scores = {r["day"]: r["score"] for r in implausible_readings(df, "ticker", "date", [Field("close")]).collect()}
+    assert min(scores[day(i)] for i in (50, 120, 121)) > sorted(scores.values())[-20]
+
+
+def test_sources_of_few_or_constant_readings(spark):
+    data = [("one", day(0), 5.0), ("two", day(0), 5.0), ("two", day(1), 50.0)] + [("same", day(i), 7.0) for i in range(5)] + [("edge", day(i), 900.0 if i in (0, 39) else 10.0 + i % 3) for i in range(40)]
+    df = spark.createDataFrame(data, "ticker string, date date, close double")
+    assert rows(implausible_readings(df, "ticker", "date", [Field("close")], flagged_only=True), "source") == []  # no level on both sides

@@ -20,7 +20,7 @@ class Field:
 
     ``positive``: zero is impossible too (prices), else only negative values are (counts). ``spread``: the scale of departures is the
     source's usual distance from its level (volumes), else its usual change from one reading to the next (prices).
-    ``factor``: how many scales a reading must depart to be confirmed.
+    ``factor``: how many scales a candidate must lie from the levels before and after it to be confirmed.
     """
 
     name: str
@@ -33,23 +33,28 @@ class Field:
 class Settings:
     """Documented parameters of the forest and the rules.
 
-    ``sample``: readings per source that a forest is grown on (half those farthest from usual, half drawn by hash); every reading is scored.
-    ``gate``: least score of a candidate. ``back_within``: a departure must be back near its former level after at most so many rows.
-    ``flat_run``: from so many equal readings in consecutive rows on it is a flat line. ``season``: length of the seasonal cycle in days.
+    ``sample``: readings that each tree of a source is grown on, drawn at random for each tree; every reading is scored. ``gate``: a candidate's score exceeds its
+    source's median score by so many of the source's own (scaled) median deviations. ``half_window``: rows on either side that make the surrounding level.
+    ``back_within``: a departure must be back near its former level after at most so many rows. ``neighbours``: readings before and after a departure that tell the
+    level, none of them a candidate, at most ``reach`` rows away. ``flat_run``: from so many equal readings in consecutive rows on it is a flat line. ``season``: length of the seasonal cycle in days.
     """
 
     trees: int = 16
-    sample: int = 64
-    gate: float = 0.45
+    sample: int = 256
+    gate: float = 2.0
     half_window: int = 5
     back_within: int = 3
+    neighbours: int = 3
+    reach: int = 12
     flat_run: int = 6
     season: int = 7
     seed: int = 11
 
 
-DEPTH = 6
-FEATURES = 5
+#: Levels of a tree, enough for its sample.
+DEPTH = 8
+#: Features that cuts are drawn from, evenly: level thrice, change before, change after, seasonal twice, run length.
+DRAWN = np.array([0, 0, 0, 1, 2, 3, 3, 4])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,73 +109,79 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(x: np.ndarray, group: np.ndarray, identity: np.ndarray, far: np.ndarray, s: Settings) -> np.ndarray:
+def forest_scores(x: np.ndarray, group: np.ndarray, identity: np.ndarray, s: Settings) -> np.ndarray:
     """Isolation scores of all rows, from one forest per group; rows are sorted by group.
 
-    ``x``: (features, rows). ``identity``: a 64-bit hash per group. ``far``: distance from usual, for the choice of the sample. All groups' trees are
-    grown together, level by level; each node cuts a random feature at a random place within its sample's range.
+    ``x``: (features, rows). ``identity``: a 64-bit hash per group. Each tree is grown on a random sample of its group, drawn by hash, of ``s.sample`` rows on average (all rows
+    of a smaller group). All groups' trees are grown together, level by level, while every row travels down every tree; each node cuts a random feature at a random
+    place within its sample's range. A row that ends among several sampled ones adds the mean further path among so many.
     """
     groups, n, t = len(identity), len(group), s.trees
     counts = np.bincount(group, minlength=groups)
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    place = np.arange(n) - start[group]
-    by_far = np.lexsort((place, -far, group))
-    rank = np.empty(n, np.int64)
-    rank[by_far] = np.arange(n) - start[group]
-    half = s.sample // 2
-    width = min(s.sample, int(counts.max()) if n else 0)
-    slots = np.arange(width)
-    # A tree's sample: the rows farthest from usual, then rows drawn without replacement by a hash-keyed affine walk over the rest.
-    tree = np.arange(t, dtype=np.uint64)
-    key = mix(identity[:, None] ^ mix(tree + np.uint64(s.seed))[None, :])
-    rest = np.maximum(counts - half, 1)
-    shift = (key % rest[:, None].astype(np.uint64)).astype(np.int64)
-    stride = np.maximum(rest // half, 1)
-    drawn = (shift[:, :, None] + (slots[None, None, :] - half) * stride[:, None, None]) % rest[:, None, None] + half
-    pick = np.where(slots[None, None, :] < half, slots[None, None, :], drawn)
-    valid = np.broadcast_to(slots[None, None, :] < np.minimum(counts, s.sample)[:, None, None], (groups, t, width))
-    member = by_far[np.minimum(start[:, None, None] + pick, max(n - 1, 0))]
-    base = (np.arange(groups * t) * (1 << DEPTH)).reshape(groups, t)
-    node = np.zeros((groups, t, width), np.int64)
-    flat_member, flat_valid = member.reshape(-1), valid.reshape(-1)
-    owner = np.repeat(base.reshape(-1), width)[flat_valid]
-    points, at = flat_member[flat_valid], node.reshape(-1)[flat_valid]
-    size = groups * t * (1 << DEPTH)
-    features, cuts, leaf = np.zeros(size, np.int8), np.full(size, np.inf, np.float32), np.zeros(size, bool)
-    tree_key = key.reshape(-1)
-    reading_node = np.zeros((t, n), np.int64)
-    path = np.zeros((t, n), np.float32)
-    done = np.zeros((t, n), bool)
-    flat = x.reshape(-1)
-    for level in range(DEPTH):
-        first = 1 << level
-        ids = owner + first + at  # heap numbering: a level's nodes are first ... 2 * first - 1
-        node_hash = mix(np.repeat(tree_key, first) + np.tile(np.arange(first, 2 * first, dtype=np.uint64), groups * t))
-        where = (base.reshape(-1)[:, None] + np.arange(first, 2 * first)).reshape(-1)
-        features[where] = (node_hash % np.uint64(FEATURES)).astype(np.int8)
-        v = flat[features[ids].astype(np.int64) * n + points]
-        lo, hi, held = np.full(size, np.inf, np.float32), np.full(size, -np.inf, np.float32), np.bincount(ids, minlength=size)
-        np.minimum.at(lo, ids, v)
-        np.maximum.at(hi, ids, v)
-        u = ((mix(node_hash) >> np.uint64(40)).astype(np.float32) + 0.5) / (1 << 24)
-        splits = hi[where] > lo[where]
-        cuts[where[splits]] = lo[where[splits]] + u[splits] * (hi[where[splits]] - lo[where[splits]])
-        leaf[where] = held[where] <= 1
-        at = at * 2 + (v >= cuts[ids])
-        tree_base = base[group].T  # (t, n)
-        rid = tree_base + first + reading_node
-        ends = leaf[rid] & ~done
-        path[ends] = level
-        done |= ends
-        rv = flat[features[rid].astype(np.int64) * n + np.arange(n)]
-        reading_node = reading_node * 2 + (rv >= cuts[rid])
-    # what is left at full depth: the mean further path among the sample in that leaf
-    last = np.bincount(np.repeat(np.arange(groups * t), width)[flat_valid] * (1 << DEPTH) + at, minlength=groups * t * (1 << DEPTH))
-    bottom = (np.arange(groups * t) * (1 << DEPTH)).reshape(groups, t)
-    tail = DEPTH + average_path(last)[bottom[group].T + reading_node]
-    path = np.where(done, path, tail)
+    key = mix(identity[:, None] ^ mix(np.arange(t, dtype=np.uint64) + np.uint64(s.seed))[None, :])
+    node = (group * t + np.arange(t)[:, None]).reshape(-1)
+    row = np.tile(np.arange(n), t)
+    inside = slice(None)
+    if n and counts.max() > s.sample:
+        place = (np.arange(n) - (np.cumsum(counts) - counts)[group]).astype(np.uint64)
+        inside = np.flatnonzero(((mix(key.T[:, group] + mix(place)) >> np.uint64(11)) < (s.sample / counts * (1 << 53))[group]).reshape(-1))
+    flat, path, hashes = x.reshape(-1), np.zeros(t * n, np.float32), key.reshape(-1)
+    for _ in range(DEPTH):
+        size = len(hashes)
+        value = flat[(DRAWN[(hashes >> np.uint64(32)).astype(np.int64) % len(DRAWN)] * n)[node] + row]
+        low, high = np.full(size, np.inf, np.float32), np.full(size, -np.inf, np.float32)
+        np.minimum.at(low, node[inside], value[inside])
+        np.maximum.at(high, node[inside], value[inside])
+        path += (np.bincount(node[inside], minlength=size) > 1)[node]
+        place = (mix(hashes) >> np.uint64(40)).astype(np.float32) / (1 << 24)
+        splits = high > low
+        cut = np.full(size, np.inf, np.float32)
+        cut[splits] = low[splits] + place[splits] * (high[splits] - low[splits])
+        node = 2 * node + (value > cut[node])
+        hashes = mix(np.repeat(hashes, 2) + np.tile(np.arange(2, dtype=np.uint64), size))
+    path += average_path(np.bincount(node[inside], minlength=len(hashes)))[node]
     usual = average_path(np.minimum(counts, s.sample))[group]
-    return np.where(usual > 0, 2.0 ** (-path.mean(0) / np.where(usual > 0, usual, 1)), 0.0)
+    return np.where(usual > 0, 2.0 ** (-path.reshape(t, n).mean(0) / np.where(usual > 0, usual, 1)), 0.0)
+
+
+def side_level(values: np.ndarray, group: np.ndarray, calm: np.ndarray, at: np.ndarray, side: int, s: Settings) -> np.ndarray:
+    """Median of the ``s.neighbours`` calm rows nearest to each row in ``at`` on one side (-1 before, 1 after), NaN without any within reach."""
+    first = np.searchsorted(calm, at, "left" if side < 0 else "right") - (side < 0)
+    picked = np.full((s.neighbours, len(at)), np.nan)
+    for k in range(s.neighbours):
+        i = first + side * k
+        there = (i >= 0) & (i < len(calm))
+        row = calm[np.where(there, i, 0)] if len(calm) else np.zeros(len(at), np.int64)
+        there &= (np.abs(row - at) <= s.reach) & (group[row] == group[at])
+        picked[k] = np.where(there, values[row], np.nan)
+    picked.sort(axis=0)  # NaN last
+    count, column = (~np.isnan(picked)).sum(0), np.arange(len(at))
+    return (picked[np.maximum(count - 1, 0) // 2, column] + picked[np.minimum(count // 2, s.neighbours - 1), column]) / 2
+
+
+def departures(values: np.ndarray, group: np.ndarray, candidate: np.ndarray, least: np.ndarray, s: Settings) -> np.ndarray:
+    """Rows of the forest's candidates' departures that return: the explicit check.
+
+    A departure is the stretch of consecutive rows around a candidate that lie more than ``least`` (per row) from the level of the calm rows before, a calm row being one that
+    is no candidate. It is a spike if it has at most ``back_within`` rows, lies as far from the calm rows after it, and those differ from the ones before by at most half the
+    departure. Without calm rows on both sides there is no former level to return to.
+    """
+    out, calm = np.zeros(len(values), bool), np.flatnonzero(~candidate)
+    at = np.flatnonzero(candidate)
+    was = side_level(values, group, calm, at, -1, s)
+    for i, level in zip(at.tolist(), was.tolist(), strict=True) if len(at) else ():
+        if out[i] or not abs(values[i] - level) > least[i]:
+            continue
+        a = b = i
+        while a > 0 and group[a - 1] == group[i] and abs(values[a - 1] - level) > least[i]:
+            a -= 1
+        while b + 1 < len(values) and group[b + 1] == group[i] and abs(values[b + 1] - level) > least[i] and b - a < s.back_within:
+            b += 1
+        after = side_level(values, group, calm, np.array([b]), 1, s)[0]
+        away = np.abs(values[a : b + 1] - level).min()
+        if b - a < s.back_within and abs(after - level) <= away / 2:
+            out[a : b + 1] |= np.abs(values[a : b + 1] - after) > least[i]
+    return out
 
 
 def judge(values: np.ndarray, days: np.ndarray, group: np.ndarray, identity: np.ndarray, field: Field, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +198,7 @@ def judge(values: np.ndarray, days: np.ndarray, group: np.ndarray, identity: np.
     lv, lg, ld = log[ok], group[ok], days[ok]
     score = np.ones(n)
     if len(lv):
-        level = rolling_level(lv, lg, s.half_window)
-        away = lv - level
+        away = lv - rolling_level(lv, lg, s.half_window)
         step = np.full(len(lv), np.nan)
         step[1:] = np.where(lg[1:] == lg[:-1], lv[1:] - lv[:-1], np.nan)
         moved = np.where(step == 0, np.nan, step)  # repeated readings say nothing about usual changes
@@ -204,32 +214,13 @@ def judge(values: np.ndarray, days: np.ndarray, group: np.ndarray, identity: np.
         leave[:-1] = np.where(lg[1:] == lg[:-1], dz[1:], 0.0)
         season_key = lg * s.season + ld % s.season
         season = z - np.nan_to_num(group_median(z, season_key, groups * s.season))[season_key]
-        clip = lambda a: np.clip(a, -40, 40)
+        clip = lambda a: np.clip(a, -15, 15)
         x = np.stack([clip(z), clip(dz), clip(leave), clip(season), np.log1p(length[ok] - 1.0) * 4]).astype(np.float32)
-        score_ok = forest_scores(x, lg, identity, np.abs(z), s)
+        score_ok = forest_scores(x, lg, identity, s)
         score[ok] = score_ok
-        # exact check of the forest's candidates
-        odd = (score_ok >= s.gate) & (np.abs(z) > field.factor)
-        reason_ok = np.zeros(len(lv), np.int8)
-        at = np.flatnonzero(odd)
-        if len(at):
-            new = np.ones(len(at), bool)
-            new[1:] = (np.diff(at) != 1) | (lg[at[1:]] != lg[at[:-1]])
-            for run in np.split(at, np.flatnonzero(new)[1:]):
-                a, b = run[0], run[-1]
-                if len(run) > s.back_within:
-                    continue
-                before = np.arange(max(0, a - s.half_window), a)
-                before = before[(lg[before] == lg[a]) & ~odd[before]]
-                after = np.arange(b + 1, min(len(lv), b + 1 + s.half_window))
-                after = after[(lg[after] == lg[a]) & ~odd[after]]
-                if not len(before) or not len(after):
-                    continue
-                was, unit = np.median(lv[before]), scale[lg[a]]
-                near = np.abs(np.median(lv[after]) - was) <= field.factor * unit * 0.75
-                gone = np.abs(lv[run] - was) > field.factor * unit * 0.75
-                reason_ok[run[gone & near]] = 2
-        reason[ok] = reason_ok
+        usual = group_median(score_ok, lg, groups)
+        gate = usual + s.gate * 1.4826 * group_median(np.abs(score_ok - usual[lg]), lg, groups)
+        reason[ok] = np.where(departures(lv, lg, score_ok > gate[lg], (field.factor * scale)[lg], s), 2, 0)
     reason[flat] = 3
     reason[impossible] = 1
     return score, reason
@@ -243,10 +234,10 @@ def implausible_readings(rows: DataFrame, source: str, day: str, fields: Sequenc
 
     ``rows`` has at most one row per (source, day); fields are numeric. Of each (source, field) an isolation forest is grown on five
     features, relative to the source's own behaviour: distance from the surrounding level (median of 11 readings), change to this reading and to
-    the next, distance from the level after the usual deviation of that day of the cycle, and length of the run of equal readings. Every reading is scored. A reading
-    is flagged as ``impossible`` (a price that is zero, negative, NaN or infinite, a negative count; score 1), ``flat`` (all but the first of six or more
-    equal readings in a row) or ``spike``: a candidate of the forest that leaves the surrounding level by more than ``factor`` scales and whose series is back near
-    the level before within three rows; a lasting move is none.
+    the next, distance from the level after the usual deviation of that day of the cycle, and length of the run of equal readings. Every reading is scored, and the readings whose
+    score stands out among their source's own scores are candidates; without the forest there are none. A reading is flagged as ``impossible`` (a price that is zero, negative, NaN or
+    infinite, a negative count; score 1), ``flat`` (all but the first of six or more equal readings in a row) or ``spike``: part of a candidate's departure, of at most three rows, that lies
+    more than ``factor`` scales from the calm readings before and after it, which are near each other; a lasting move is none.
 
     Null readings are left out, the next row being the next reading. Null sources or days are left out. Sources with few readings get a forest on what there is; one or
     two readings can only be impossible. Rows are co-partitioned by source and sorted once; a source has at most one row per day, which bounds what a

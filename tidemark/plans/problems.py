@@ -36,6 +36,13 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("source", "ticker").withColumnRenamed("day", "date")
 
 
+def p1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p1_found that explicit rules decide: impossible values and flat lines, with the reason."""
+    bars = counting_bars(spark, sf_dir, "open", "close", "volume")
+    flagged = implausible_readings(bars, "ticker", "date", READINGS, flagged_only=True).filter("reason <> 'spike'")
+    return flagged.select(F.col("source").alias("ticker"), day_string("day").alias("date"), "field", "reason")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validity periods of membership and sector."""
     updates = table(spark, sf_dir, "universe_history").withColumn("ticker", canonical_ticker("ticker"))
@@ -109,7 +116,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select(day_string("as_of").alias("as_of"), "ticker", "change")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_history": p3_history, "p4_found": p4_found, "p4_attached": p4_attached, "p5_trailing": p5_trailing, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rules": p1_rules, "p3_found": p3_found, "p3_history": p3_history, "p4_found": p4_found, "p4_attached": p4_attached, "p5_trailing": p5_trailing, "p7_found": p7_found}
 
 TICKER = "upper(replace(trim(ticker, ' ' || chr(9) || chr(10) || chr(13)), '.', '-'))"
 
@@ -151,6 +158,17 @@ _PERIODS = "".join(
 )
 
 ORACLE = {
+    "p1_rules": f"""
+with b as (select t, date, open, close, volume::double as volume from (
+  select {TICKER} as t, date, open, close, volume,
+         row_number() over (partition by {TICKER}, date order by ingested_at desc nulls last, open desc nulls last, close desc nulls last, volume desc nulls last) as rn
+  from panel where ticker is not null and date is not null) where rn = 1),
+l as (select t, date, 'open' as field, open as v from b union all select t, date, 'close', close from b union all select t, date, 'volume', volume from b),
+c as (select *, coalesce(v <> lag(v) over w or isnan(v), true)::int as fresh from l where v is not null window w as (partition by t, field order by date)),
+g as (select *, sum(fresh) over (partition by t, field order by date rows unbounded preceding) as g from c),
+r as (select *, count(*) over (partition by t, field, g) as n, row_number() over (partition by t, field, g order by date) as i from g),
+j as (select *, case when isnan(v) or isinf(v) or v < 0 or (v = 0 and field <> 'volume') then 'impossible' when n >= 6 and i > 1 then 'flat' end as reason from r)
+select t as ticker, strftime(date, '%Y-%m-%d') as date, field, reason from j where reason is not null""",
     "p3_found": _VERSIONS
     + "select t as ticker, strftime(e, '%Y-%m-%d') as valid_from, coalesce(strftime(lead(e) over (partition by t order by e), '%Y-%m-%d'), '9999-12-31') as valid_to from v",
     "p3_history": _VERSIONS + "select t as ticker, in_universe, sector, e as valid_from, lead(e) over (partition by t order by e) as valid_to from v",
