@@ -51,8 +51,8 @@ class Settings:
     seed: int = 11
 
 
-#: Levels of a tree, enough for its sample.
-DEPTH = 8
+#: Levels of a tree; what stands out is alone long before.
+DEPTH = 6
 #: Features that cuts are drawn from, evenly: level thrice, change before, change after, seasonal twice, run length.
 DRAWN = np.array([0, 0, 0, 1, 2, 3, 3, 4])
 
