@@ -487,3 +487,32 @@ def test_signal_evaluation(spark):
     df = spark.createDataFrame(rows, "date date, ticker string, sector string, beta double, stock_forward_return double, target double, s double, empty double")
     out = {r["signal"]: r for r in backtest.evaluate_signals(df, ["s", "empty"], max_weight=0.5).collect()}
     assert out["s"]["status"] == "evaluated" and out["s"]["periods"] == 8 and 0 <= out["s"]["deflated_sharpe_probability"] <= 1 and out["empty"]["status"] == "no_feasible_portfolios"
+
+
+def test_window_medians(spark):
+    rng = np.random.default_rng(8)
+    days = [x.date() for x in pd.bdate_range("2024-01-01", periods=40)]
+    data = [(day, f"t{i}", None if rng.random() < 0.2 else float(rng.normal()), float(rng.integers(0, 5)), None, float(rng.normal()) if k < 35 and k != 7 else None) for k, day in enumerate(days) for i in range(30)]
+    df = spark.createDataFrame(data, "date date, ticker string, a double, b double, c double, target double")
+    windows = [(0, 1), (3, 5), (0, 10), (0, 25), (0, 38), (5, 15), (10, 20), (28, 38), (35, 38), (7, 8), (0, 40)]
+    exact = models.window_medians(df, ["a", "b", "c"], "target", days, windows, None)
+    assert models.window_medians(df, ["a", "b", "c"], "target", days, windows) == exact and exact[0, 40][2] is None and exact[7, 8] == [None] * 3 == exact[35, 38]
+    rough = models.window_medians(df, ["a"], "target", days, windows, 64)
+    assert all(r[0] is None if exact[w][0] is None else abs(r[0] - exact[w][0]) < 0.2 for w, r in rough.items())
+    assert models.window_medians(df, ["a"], "target", days, []) == {}
+
+
+def test_repeated_dates_and_returns_are_refused(spark):
+    days = [x.date() for x in pd.bdate_range("2024-01-01", periods=10)]
+    bars = spark.createDataFrame([(day, "A", 1.0, 1.0 + k) for k, day in enumerate(days)], "date date, ticker string, open double, close double")
+    market = bars.select("date", "open", "close")
+    assert labels.residual_return_target(bars, market, 2, 2).count() == 10
+    with pytest.raises(Exception, match="duplicate dates"):
+        labels.residual_return_target(bars, market.unionByName(market.limit(1)), 2, 2).collect()
+    book = spark.createDataFrame([(days[0], "A", 0.5), (days[0], "B", -0.5)], "date date, ticker string, weight double")
+    returns = spark.createDataFrame([(days[0], "A", 0.05), (days[0], "B", 0.01)], "date date, ticker string, stock_forward_return double")
+    assert backtest.run_backtest(book, returns, cost_bps=0.0).first()["gross_return"] == pytest.approx(0.02)
+    with pytest.raises(Exception, match="returns have duplicate"):
+        backtest.run_backtest(book, returns.unionByName(returns.limit(1)))
+    with pytest.raises(Exception, match="weights have duplicate"):
+        backtest.run_backtest(book.unionByName(book.limit(1)), returns)

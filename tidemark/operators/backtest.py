@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.common import checkpointed, require_columns
 from tidemark.functions.exprs import week_ending_friday
 from tidemark.operators.metrics import performance, prediction_metrics, return_moments, sharpe_probability
-from tidemark.operators.panel import refuse
+from tidemark.operators.panel import only_rows, refuse
 from tidemark.operators.portfolio import projection_portfolio
 
 
@@ -80,10 +80,12 @@ def check_costs(weights: DataFrame, value: str, model: str, numbers: Sequence[fl
 
 
 def with_returns(weights: DataFrame, returns: DataFrame | None, value: str, keys: Sequence[str]) -> DataFrame:
-    """The weights with the return column, joined unless they have it already."""
+    """The weights with the return column, joined one to one unless they have it already; a repeated (keys..., date, ticker) on either side raises when the plan runs."""
     if value in weights.columns or returns is None:
         return weights
-    return weights.join(returns.select(*keys, "date", "ticker", value), [*keys, "date", "ticker"], "left")
+    on = [*keys, "date", "ticker"]
+    single = only_rows(weights, on, "weights have duplicate (date, ticker) rows")
+    return single.join(only_rows(returns.select(*on, value), on, "returns have duplicate (date, ticker) rows"), on, "left")
 
 
 def run_backtest(

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import require_columns
 from tidemark.functions.exprs import by_entity, change, ratio, trailing
+from tidemark.operators.panel import only_rows
 
 
 def benchmark_returns(benchmark: DataFrame, horizon: int, delay: int) -> DataFrame:
     """(date, benchmark_open, benchmark_close, benchmark_return_1d, benchmark_forward_return) on the benchmark's own calendar.
 
-    The series has one row per date, so its window, though without a key, is bounded by the calendar.
+    The series has one row per date, so its window, though without a key, is bounded by the calendar. A repeated date raises when the plan runs.
     """
     w = Window.orderBy("date")
     o, c = F.col("benchmark_open"), F.col("benchmark_close")
-    market = benchmark.select(F.col("date").cast("date").alias("date"), F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close"))
+    market = only_rows(benchmark.select(F.col("date").cast("date").alias("date"), F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close")), ["date"], "benchmark has duplicate dates")
     return market.withColumns({"benchmark_return_1d": ratio(c, F.lag(c).over(w)) - 1, "benchmark_forward_return": ratio(F.lead(c, delay + horizon - 1).over(w), F.lead(o, delay).over(w)) - 1})
 
 
@@ -26,7 +27,7 @@ def residual_return_target(panel: DataFrame, benchmark: DataFrame, horizon: int
     The forward return opens ``delay`` rows after the signal row and closes ``horizon`` rows later, counting the ticker's own rows (the benchmark's on its own
     calendar). Beta is the population slope over the last ``beta_lookback`` rows, null unless all of them have both returns, and null without benchmark
     variance. The last rows of a ticker have null labels. Dates missing from the benchmark keep null benchmark columns; a benchmark with a repeated date is
-    refused by the caller's contract (one row per date).
+    refused when the plan runs, as each panel row must meet at most one of its rows.
     """
     require_columns(panel, ["date", "ticker", "open", "close"], "panel")
     require_columns(benchmark, ["date", "open", "close"], "benchmark")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import require_columns
+from tidemark.functions.common import fresh, require_columns
 from tidemark.functions.exprs import by_entity, middle, rolling
 
 PANEL_COLUMNS = ("date", "ticker", "open", "high", "low", "close", "volume")
@@ -25,6 +25,13 @@ def refuse_duplicates(df: DataFrame, keys: list[str], message: str) -> None:
         raise ValueError(message)
 
 
+def only_rows(df: DataFrame, keys: list[str], message: str) -> DataFrame:
+    """The same rows; a key that stands on more than one raises ``message`` when the plan runs. No job of its own: the count is a window on the keys."""
+    n = fresh(df.columns, "rows_of_key")
+    counted = df.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.filter(F.when(F.col(n) > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)).drop(n)
+
+
 def standard_panel(panel: DataFrame) -> DataFrame:
     """The seven panel columns, dates as dates, tickers upper case, NaN as null. Lazy; nothing is filled or dropped."""
     require_columns(panel, PANEL_COLUMNS, "panel")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -27,12 +26,6 @@ def clean_panel(spark: SparkSession, d: str) -> DataFrame:
     return bars.filter(" and ".join(f"{c} > 0" for c in PRICES) + " and volume >= 0").select("date", "ticker", *PRICES, "volume", "cik")
 
 
-def sectors(spark: SparkSession, d: str) -> DataFrame:
-    """Each ticker's last stated sector, as the SQL of the queries that use it has it; on earlier dates this looks ahead (see ``dated_panel``)."""
-    rows = table(spark, d, "universe_history").filter("sector is not null").select(canonical_ticker("ticker").alias("ticker"), "effective_date", "as_of", "record_id", "sector")
-    return latest_rows(rows, ["ticker"], ["effective_date", "as_of", "record_id"], ["sector"])
-
-
 def memberships(spark: SparkSession, d: str) -> DataFrame:
     """The membership record that counts of each ticker and effective date."""
     history = table(spark, d, "universe_history").withColumn("ticker", canonical_ticker("ticker"))
@@ -59,22 +52,25 @@ def research_frame(spark: SparkSession, d: str, names: tuple[str, ...] = SCORED,
     return features.cross_section(features.raw_features(labeled(spark, d, dated)), list(names))
 
 
-def signal_frame(spark: SparkSession, d: str) -> DataFrame:
+def signal_frame(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
     """The research frame with the four technical signals."""
-    return signals.technical_signals(research_frame(spark, d), ranks=False)
+    return signals.technical_signals(research_frame(spark, d, dated=dated), ranks=False)
+
 
+def reversal_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Features and labels with sectors as of each date; the day's losers are expected to win."""
+    return features.raw_features(labeled(spark, d, dated=True)).withColumn("signal", -F.col("return_1d"))
 
-def reversal_predictions(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
-    """Weekly predictions: the day's losers are expected to win. Sectors are the last stated ones, with ``dated`` those as of each date."""
-    frame = features.raw_features(labeled(spark, d, dated))
-    frame = frame if dated else frame.join(sectors(spark, d), "ticker", "left")
-    weekly = frame.join(backtest.weekly_dates(frame), "date", "left_semi")
-    return weekly.select("date", "ticker", (-F.col("return_1d")).alias("prediction"), "sector", "beta", "stock_forward_return", "target", "dollar_volume_20d", "volatility_20d")
 
+def reversal_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly predictions of the reversal. Every clean bar has its row in the frame, so the weeks' dates are read from the bars."""
+    weekly = reversal_frame(spark, d).join(backtest.weekly_dates(clean_panel(spark, d)), "date", "left_semi")
+    return weekly.select("date", "ticker", F.col("signal").alias("prediction"), "sector", "beta", "stock_forward_return", "target", "dollar_volume_20d", "volatility_20d")
 
-def reversal_book(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
+
+def reversal_book(spark: SparkSession, d: str) -> DataFrame:
     """Its neutral weekly books."""
-    return portfolio.projection_portfolio(reversal_predictions(spark, d, dated), quantile=0.2, max_weight=0.5)
+    return portfolio.projection_portfolio(reversal_predictions(spark, d), quantile=0.2, max_weight=0.5)
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
@@ -136,9 +132,9 @@ def rolling_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Winsorised ranks, z-scores and sector ranks."""
-    names = ["return_5d", "volatility_20d", "relative_volume_20d"]
-    raw = features.raw_features(clean_panel(spark, d)).join(sectors(spark, d), "ticker", "left").select("date", "ticker", "sector", *names)
+    """Winsorised ranks, z-scores and sector ranks of all features, sectors as of each date."""
+    names = list(features.RAW_FEATURES)
+    raw = features.raw_features(dated_panel(spark, d)).select("date", "ticker", "sector", *names)
     return rounded(features.cross_section(raw, names, "sector").drop("sector", *names), 6)
 
 
@@ -160,14 +156,14 @@ def combined_signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neutral_signal(spark: SparkSession, d: str) -> DataFrame:
-    """M1: a signal's residual on beta and sectors."""
-    frame = features.raw_features(labeled(spark, d)).join(sectors(spark, d), "ticker", "left").withColumn("signal", -F.col("return_1d"))
+    """M1: a signal's residual on beta and sectors as of each date."""
+    frame = reversal_frame(spark, d)
     return rounded(signals.neutralize(frame, "signal", ["beta"], "sector").select("date", "ticker", "signal_neutral"), 7)
 
 
 def neutral_two_factors(spark: SparkSession, d: str) -> DataFrame:
     """M1 with several factors, sectors as of each date."""
-    frame = features.raw_features(labeled(spark, d, dated=True)).withColumn("signal", -F.col("return_1d"))
+    frame = reversal_frame(spark, d)
     return rounded(signals.neutralize(frame, "signal", ["beta", "volatility_20d"], "sector").select("date", "ticker", "signal_neutral"), 7)
 
 
@@ -178,13 +174,12 @@ def feature_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_correlation(spark: SparkSession, d: str) -> DataFrame:
     """A2: pooled pairwise correlation."""
-    names = ["return_1d", "return_5d", "volatility_20d", "volume_zscore_20d"]
-    return rounded(features.pooled_correlation(features.raw_features(clean_panel(spark, d)), names))
+    return rounded(features.pooled_correlation(features.raw_features(clean_panel(spark, d)), features.RAW_FEATURES))
 
 
 def feature_ics(spark: SparkSession, d: str) -> DataFrame:
     """A2: daily correlations with the target."""
-    return rounded(features.feature_ics(features.raw_features(labeled(spark, d)), ["return_1d", "volatility_20d"], "target"))
+    return rounded(features.feature_ics(features.raw_features(labeled(spark, d)), features.RAW_FEATURES, "target"))
 
 
 def daily_ics(spark: SparkSession, d: str) -> DataFrame:
@@ -204,20 +199,23 @@ def signal_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def signal_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Mean within-date rank correlation of signals."""
-    return rounded(diagnostics.signal_correlation(signal_frame(spark, d), SIGNALS[:3]))
+    return rounded(diagnostics.signal_correlation(signal_frame(spark, d), SIGNALS))
 
 
 def signal_decay(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation with two forward horizons."""
-    frame = features.raw_features(labeled(spark, d)).withColumn("signal", -F.col("return_1d"))
+    """Rank correlation of each signal with two forward horizons."""
     longer = labels.residual_return_target(clean_panel(spark, d), benchmark(spark, d), horizon=10, target="target_10d").select("date", "ticker", "target_10d")
-    return rounded(diagnostics.signal_decay(frame.join(longer, ["date", "ticker"]), ["signal", "return_5d"], {5: "target", 10: "target_10d"}))
+    return rounded(diagnostics.signal_decay(signal_frame(spark, d).join(longer, ["date", "ticker"]), SIGNALS, {5: "target", 10: "target_10d"}))
 
 
 def signal_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation by sector."""
-    frame = features.raw_features(labeled(spark, d)).join(sectors(spark, d), "ticker", "left").withColumn("signal", -F.col("return_1d"))
-    return rounded(diagnostics.grouped_stability(frame, ["signal"], "sector", minimum=3))
+    """Rank correlation of each signal by sector as of each date."""
+    return rounded(diagnostics.grouped_stability(signal_frame(spark, d, dated=True), SIGNALS, "sector", minimum=3))
+
+
+def signal_years(spark: SparkSession, d: str) -> DataFrame:
+    """The same by year."""
+    return rounded(diagnostics.grouped_stability(signal_frame(spark, d).withColumn("year", F.year("date")), SIGNALS, "year"))
 
 
 def neutral_portfolio(spark: SparkSession, d: str) -> DataFrame:
@@ -296,21 +294,20 @@ def factor_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def holding_factors(spark: SparkSession, d: str) -> DataFrame:
-    """The market factor compounded over holding periods."""
-    daily = clean_panel(spark, d).groupBy("date").agg((F.avg(F.col("close") / F.col("open")) - 1).alias("Mkt-RF"))
-    return rounded(factors.holding_period_factors(daily, backtest.weekly_dates(daily), ["Mkt-RF"]), 6)
+    """All factors compounded over holding periods."""
+    return rounded(factors.holding_period_factors(factor_series(spark, d), backtest.weekly_dates(clean_panel(spark, d))), 6)
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     """Factor attribution of the net returns, of books with sectors as of each date."""
     held = factors.holding_period_factors(factor_series(spark, d), backtest.weekly_dates(clean_panel(spark, d)))
-    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d, dated=True)), held)
+    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d)), held)
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
 
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
     """Probability after correction for four trials, of books with sectors as of each date."""
-    p = metrics.deflated_sharpe(backtest.run_backtest(reversal_book(spark, d, dated=True)), "net_return", 4)
+    p = metrics.deflated_sharpe(backtest.run_backtest(reversal_book(spark, d)), "net_return", 4)
     return spark.createDataFrame([(p,)], "deflated_sharpe_probability double")
 
 
@@ -366,7 +363,7 @@ def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
 def optimized_portfolio(spark: SparkSession, d: str) -> DataFrame:
     """M4, M5: optimised books, sectors as of each date."""
-    return portfolio.optimized_portfolios(reversal_predictions(spark, d, dated=True), quantile=0.2, factors=["beta"], max_weight=0.3)
+    return portfolio.optimized_portfolios(reversal_predictions(spark, d), quantile=0.2, factors=["beta"], max_weight=0.3)
 
 
 def signal_evaluation(spark: SparkSession, d: str) -> DataFrame:
@@ -390,9 +387,11 @@ def json_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_tickers(spark: SparkSession, d: str) -> DataFrame:
-    """SEC-shaped JSON: the ticker to company number map."""
-    payload = {"0": {"cik_str": 320, "ticker": "aaa"}, "1": {"cik_str": 789, "ticker": "BBB"}, "2": {"ticker": "CCC"}, "3": {"cik_str": 321, "ticker": "AAA"}}
-    return fundamentals.ticker_ciks(spark.createDataFrame([(json.dumps(payload),)], "payload string"))
+    """SEC-shaped JSON: the panel's (ticker, company) pairs written as documents of the entries 0, 1, ..., one per company, and read back."""
+    pairs = table(spark, d, "panel").select(F.lower(canonical_ticker("ticker")).alias("ticker"), "cik").filter("ticker is not null and cik is not null").distinct()
+    entries = pairs.groupBy("cik").agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))
+    entry = lambda t, i: F.struct(i.cast("string").alias("key"), F.struct(t.alias("ticker"), F.col("cik").alias("cik_str")).alias("value"))
+    return fundamentals.ticker_ciks(entries.select(F.to_json(F.map_from_entries(F.transform("tickers", entry))).alias("payload")))
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -413,7 +412,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         panel_validated, universe_screen, membership_asof, facts_asof, snapshot_change_log, price_coverage, rolling_features, cross_sections, residual_labels, technical_signals, combined_signal, neutral_signal, neutral_two_factors,
-        feature_coverage, feature_correlation, feature_ics, daily_ics, prediction_summary, signal_summary, signal_correlation, signal_decay, signal_stability, neutral_portfolio, exposures, turnover, flat_backtest, liquidity_backtest,
+        feature_coverage, feature_correlation, feature_ics, daily_ics, prediction_summary, signal_summary, signal_correlation, signal_decay, signal_stability, signal_years, neutral_portfolio, exposures, turnover, flat_backtest, liquidity_backtest,
         cost_grid, performance, regimes, monthly_equity, rebalance_dates, business_days, prediction_ranks, holding_factors, attribution, deflated_sharpe, overfitting, ridge_one_feature, ridge_rolling, ridge_many, nested_ridge,
         nested_selections, ablation, boosted_trees, optimized_portfolio, signal_evaluation, json_facts, json_tickers, pipeline,
     )

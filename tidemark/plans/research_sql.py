@@ -47,6 +47,10 @@ _POSITIVE = " and ".join(f"isfinite({c}) and {c} > 0" for c in ("open", "high",
 _Z = ("return_1d", "return_5d", "return_60d", "volatility_20d", "downside_volatility_20d", "atr_proxy_20d", "dollar_volume_20d", "relative_volume_20d")
 
 
+_SPREADS = (("SMB", "dollar_volume_20d"), ("HML", "volatility_20d"), ("RMW", "return_20d"), ("CMA", "distance_ma_20d"))
+_FACTORS = ("Mkt-RF", *(name for name, _ in _SPREADS), "RF")
+
+
 def _cross(source: str, names: tuple[str, ...], extra: str = "") -> str:
     bounds = ", ".join(f"quantile_cont({f}, 0.01) over (partition by date) as lo_{f}, quantile_cont({f}, 0.99) over (partition by date) as hi_{f}" for f in names)
     clipped = ", ".join(f"case when {f} is not null then least(greatest({f}, lo_{f}), hi_{f}) end as c_{f}" for f in names)
@@ -57,8 +61,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "px": ((), f"""select ticker, date, open, high, low, close, volume, cik from (
         select {TICKER} as ticker, date, open, high, low, close, volume, cik, row_number() over (partition by {TICKER}, date order by ingested_at desc nulls last) as rn from panel)
       where rn = 1 and {_POSITIVE} and volume >= 0"""),
-    "sec": ((), f"""select ticker, sector from (select {TICKER} as ticker, sector, row_number() over (partition by {TICKER} order by effective_date desc, as_of desc, record_id desc) as rn
-        from universe_history where sector is not null) where rn = 1"""),
+    "mh": ((), f"""select ticker, effective_date as e, metadata_available_date as av, in_universe as u, sector from (
+        select {TICKER} as ticker, effective_date, metadata_available_date, in_universe, sector, row_number() over (partition by {TICKER}, effective_date order by as_of desc, record_id desc) as rn from universe_history) where rn = 1"""),
     "bm": (("px",), """select date, close / lag(close) over (order by date) - 1 as br, lead(close, 5) over (order by date) / lead(open, 1) over (order by date) - 1 as bf,
         lead(close, 10) over (order by date) / lead(open, 1) over (order by date) - 1 as bf10 from (select date, avg(open) as open, avg(close) as close from px group by date)"""),
     "lab0": (("px", "bm"), f"""select px.*, br, bf, bf10, close / lag(close) over {W} - 1 as sr, lead(close, 5) over {W} / lead(open, 1) over {W} - 1 as sf, lead(close, 10) over {W} / lead(open, 1) over {W} - 1 as sf10
@@ -70,13 +74,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         lag(close, 5) over {W} / lag(close, 25) over {W} - 1 as skip_momentum_20d, close / ({_roll("avg", "close", 20)}) - 1 as distance_ma_20d, {_roll("stddev_samp", "return_1d", 20)} as volatility_20d,
         {_roll("stddev_samp", "dn", 20, 10)} as downside_volatility_20d, ({_roll("avg", "tr", 20)}) / close as atr_proxy_20d, volume / nullif({_roll("avg", "volume", 20)}, 0) as relative_volume_20d,
         (volume - ({_roll("avg", "volume", 20)})) / nullif({_roll("stddev_samp", "volume", 20)}, 0) as volume_zscore_20d, {_roll("median", "dv", 20)} as dollar_volume_20d from ft0"""),
-    "fr": (("ft", "sec"), "select ft.*, sector from ft left join sec using (ticker)"),
+    "fr": (("ft", "mh"), "select ft.*, case when mh.u is null or mh.av <= ft.date then mh.sector end as sector from ft asof left join mh on mh.ticker = ft.ticker and mh.e <= ft.date"),
     "zs": (("fr",), "select *, " + ", ".join(f"{_z(f)} as {f}_zscore" for f in _Z) + f" from {_cross('fr', _Z)}"),
     "sg": (("zs",), """select *, return_60d_zscore - return_5d_zscore as intermediate_momentum, -return_1d_zscore as short_horizon_reversal,
         -(coalesce(volatility_20d_zscore, 0) + coalesce(downside_volatility_20d_zscore, 0) + coalesce(atr_proxy_20d_zscore, 0))
           / nullif((volatility_20d_zscore is not null)::int + (downside_volatility_20d_zscore is not null)::int + (atr_proxy_20d_zscore is not null)::int, 0) as low_risk,
         (coalesce(dollar_volume_20d_zscore, 0) + coalesce(relative_volume_20d_zscore, 0)) / nullif((dollar_volume_20d_zscore is not null)::int + (relative_volume_20d_zscore is not null)::int, 0) as liquidity_quality from zs"""),
-    "wk": (("fr",), "select max(date) as date from fr group by date + ((12 - isodow(date)) % 7)::int"),
+    "wk": (("px",), "select max(date) as date from px group by date + ((12 - isodow(date)) % 7)::int"),
+    "fs": (("ft",), "select date, coalesce(avg(return_1d), 0) as \"Mkt-RF\", " + ", ".join(
+        f"coalesce(avg(return_1d) filter (where r_{f} > 0.5) - avg(return_1d) filter (where r_{f} <= 0.5), 0) as {name}" for name, f in _SPREADS) + ", 0.0001::double as RF from (select *, "
+        + ", ".join(f"{_pct(f, 'date')} as r_{f}" for _, f in _SPREADS) + " from ft) group by date"),
     "pr": (("fr", "wk"), "select date, ticker, -return_1d as prediction, sector, beta, sf, target, dollar_volume_20d, volatility_20d from fr where date in (select date from wk)"),
     "leg": (("pr",), """select * from (select *, case when up <= k then 1.0 when down <= k then -1.0 end as leg from (
         select *, floor(count(*) over (partition by date) * 0.2) as k, row_number() over (partition by date order by prediction desc, ticker) as up, row_number() over (partition by date order by prediction, ticker) as down
@@ -144,12 +151,9 @@ ORACLE: dict[str, str] = {
     "panel_validated": _with("select date, ticker, open, high, low, close, volume from px", "px"),
     "universe_screen": _with(f"""select date, ticker, {_r("m + 1.3e-5", 2)} as median_dollar_volume, coalesce(lag(close) over {W} >= 20 and m >= 5000000, false) as eligible
         from (select *, {_roll("median", "dv", 20, last=-1)} as m from (select *, close * volume as dv from px))""", "px"),
-    "membership_asof": _with(f""",
-h as (select ticker, effective_date as e, metadata_available_date as av, in_universe as u, sector from (
-  select {TICKER} as ticker, effective_date, metadata_available_date, in_universe, sector, row_number() over (partition by {TICKER}, effective_date order by as_of desc, record_id desc) as rn from universe_history) where rn = 1),
-j as (select p.date, p.ticker, p.close, h.u, h.av, h.sector from px p asof left join h on h.ticker = p.ticker and h.e <= p.date)
+    "membership_asof": _with(""", j as (select p.date, p.ticker, p.close, h.u, h.av, h.sector from px p asof left join mh h on h.ticker = p.ticker and h.e <= p.date)
 select date, ticker, close, case when u is null then false when av <= date then u end as in_universe, case when u is null then date when av <= date then av end as metadata_available_date,
-       case when u is null or av <= date then sector end as sector from j""".replace(",\nh as", ", h as", 1), "px"),
+       case when u is null or av <= date then sector end as sector from j""", "px", "mh"),
     "facts_asof": _with(f""", f as (select cik, feature, available_date as a, value, row_number() over (partition by cik, feature, available_date order by report_end desc, filed_date desc, value desc) as rn
         from (select distinct cik, feature, value, available_date, report_end, filed_date from fundamental_facts) where value is not null and not isnan(value)),
 p as (select cik, a, {", ".join(f"max(value) filter (where feature = '{x}' and rn = 1) as {x}" for x in _FIGURES)} from f group by cik, a),
@@ -170,7 +174,7 @@ select ticker, first_membership_date, membership_add_events, coalesce(price_obse
     "rolling_features": _with("select date, ticker, " + ", ".join(f"{_r(f, 6) if f != 'dollar_volume_20d' else _r(f + ' + 1.3e-5', 2)} as {f}" for f in RAW_FEATURES) + " from ft", "ft"),
     "cross_sections": _with("select date, ticker, " + ", ".join(
         f"{_r(_pct('c_' + f, 'date'), 6)} as {f}_rank, {_r(_z(f), 6)} as {f}_zscore, {_r('case when sector is not null then ' + _pct('c_' + f, 'date', 'sector') + ' end', 6)} as {f}_sector_rank"
-        for f in ("return_5d", "volatility_20d", "relative_volume_20d")) + f" from {_cross('fr', ('return_5d', 'volatility_20d', 'relative_volume_20d'))}", "fr"),
+        for f in RAW_FEATURES) + f" from {_cross('fr', RAW_FEATURES)}", "fr"),
     "residual_labels": _with(f"select date, ticker, {_r('sf', 6)} as stock_forward_return, {_r('bf', 6)} as benchmark_forward_return, {_r('beta', 6)} as beta, {_r('target', 6)} as target from lab", "lab"),
     "technical_signals": _with("select date, ticker, " + ", ".join(f"{_r(s, 6)} as {s}, {_r(_pct(s, 'date'), 6)} as {s}_rank" for s in _SIG) + " from sg", "sg"),
     "combined_signal": _with(f"select date, ticker, {_r('c', 6)} as combined_signal, {_r(_pct('c', 'date'), 6)} as combined_signal_rank from (select *, (0.0 + short_horizon_reversal * 2.0 + low_risk * -1.0) / 3.0 as c from sg)", "sg"),
@@ -180,19 +184,20 @@ g1 as (select date, ticker, x0 - case when ff > 1e-20 * bb then xf / nullif(ff,
 select date, ticker, {_r("r")} as signal_neutral from fr left join g1 using (date, ticker)""", "fr"),
     "feature_coverage": _with(" union all ".join(f"select '{f}' as feature, {_r(f'avg(({f} is not null)::int::double)')} as coverage, count(*) filter (where {f} is null) as missing_count from ft" for f in RAW_FEATURES), "ft"),
     "feature_correlation": _with(" union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, {_r(_corr(a, b))} as correlation from ft where {a} is not null and {b} is not null"
-        for a in ("return_1d", "return_5d", "volatility_20d", "volume_zscore_20d") for b in ("return_1d", "return_5d", "volatility_20d", "volume_zscore_20d")), "ft"),
-    "feature_ics": _with(f", l as ({' union all '.join(f'''select date, '{f}' as feature, {f} as x, target from ft''' for f in ('return_1d', 'volatility_20d'))}) select date, feature, {_r('pearson_ic')} as pearson_ic, {_r('rank_ic')} as rank_ic from {_ic('l', 'x', 'target', 'date', 'feature')} where n >= 5", "ft"),
+        for a in RAW_FEATURES for b in RAW_FEATURES), "ft"),
+    "feature_ics": _with(f", l as ({' union all '.join(f'''select date, '{f}' as feature, {f} as x, target from ft''' for f in RAW_FEATURES)}) select date, feature, {_r('pearson_ic')} as pearson_ic, {_r('rank_ic')} as rank_ic from {_ic('l', 'x', 'target', 'date', 'feature')} where n >= 5", "ft"),
     "daily_ics": _with(f"select date, {_r('pearson_ic')} as pearson_ic, {_r('rank_ic')} as rank_ic, {_r('directional_accuracy')} as directional_accuracy, n from {_ic('pr', 'prediction', 'target', 'date')} where n >= 5", "pr"),
     "prediction_summary": _with(f"select {_r('avg(pearson_ic)')} as mean_pearson_ic, {_r('avg(rank_ic)')} as mean_rank_ic, {_r('avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)')} as rank_ic_ir, {_r('avg(directional_accuracy)')} as directional_accuracy, sum(n)::bigint as observations from {_ic('pr', 'prediction', 'target', 'date')} where n >= 5", "pr"),
     "signal_summary": _with(f""", l as ({_LONG(_SIG, "sg", "date, target")}), c as (select signal, avg((x is not null)::int::double) as coverage from l group by signal),
 i as (select signal, avg(rank_ic) as rank_ic, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) as ir, count(*) as n from {_ic("l", "x", "target", "signal", "date")} where n >= 5 group by signal)
 select signal, {_r("coverage")} as coverage, {_r("rank_ic")} as rank_ic, {_r("ir")} as rank_ic_ir, coalesce(n, 0) as ic_days from c left join i using (signal)""", "sg"),
-    "signal_correlation": _with(f""", l as ({" union all ".join(f"select '{a}' as signal_a, '{b}' as signal_b, date, {a} as x, {b} as y from sg" for a in _SIG[:3] for b in _SIG[:3])})
+    "signal_correlation": _with(f""", l as ({" union all ".join(f"select '{a}' as signal_a, '{b}' as signal_b, date, {a} as x, {b} as y from sg" for a in _SIG for b in _SIG)})
 select signal_a, signal_b, {_r("avg(rank_ic)")} as correlation from {_ic("l", "x", "y", "signal_a", "signal_b", "date")} group by signal_a, signal_b""", "sg"),
-    "signal_decay": _with(f""", l as ({" union all ".join(f"select '{s}' as signal, {h} as horizon_days, date, {x} as x, {t} as y from ft" for s, x in (("signal", "-return_1d"), ("return_5d", "return_5d")) for h, t in ((5, "target"), (10, "target_10d")))})
-select signal, horizon_days, {_r("avg(rank_ic)")} as rank_ic, count(*) as ic_days from {_ic("l", "x", "y", "signal", "horizon_days", "date")} where n >= 5 group by 1, 2""", "ft"),
-    "signal_stability": _with(f""", l as (select date, sector, -return_1d as x, target from fr where sector is not null)
-select 'signal' as signal, sector, {_r("avg(rank_ic)")} as mean_rank_ic, {_r("avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)")} as rank_ic_ir, count(*) as ic_observations from {_ic("l", "x", "target", "sector", "date")} where n >= 3 group by sector""", "fr"),
+    "signal_decay": _with(f""", l as ({" union all ".join(f"select '{s}' as signal, {h} as horizon_days, date, {s} as x, {t} as y from sg" for s in _SIG for h, t in ((5, "target"), (10, "target_10d")))})
+select signal, horizon_days, {_r("avg(rank_ic)")} as rank_ic, count(*) as ic_days from {_ic("l", "x", "y", "signal", "horizon_days", "date")} where n >= 5 group by 1, 2""", "sg"),
+    **{name: _with(f""", l as ({_LONG(_SIG, "sg", f"date, {group}, target")})
+select signal, {out}, {_r("avg(rank_ic)")} as mean_rank_ic, {_r("avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)")} as rank_ic_ir, count(*) as ic_observations from {_ic("l", "x", "target", "signal", out, "date")} where n >= {least} and {out} is not null group by signal, {out}""", "sg")
+        for name, group, out, least in (("signal_stability", "sector", "sector", 3), ("signal_years", "year(date)::int as year", "year", 5))},
     "neutral_portfolio": _with(f"select date, ticker, {_r('prediction')} as prediction, {_r('weight')} as weight from bk", "bk"),
     "exposures": _with(f"""select date, {_r("sum(g)")} as gross, {_r("sum(n)")} as net, {_r("sum(b)")} as beta, {_r("max(abs(n))")} as max_abs_sector_exposure
         from (select date, sector, sum(abs(weight)) as g, sum(weight) as n, sum(weight * beta) as b from bk group by date, sector) group by date""", "bk"),
@@ -218,11 +223,11 @@ select b as cost_assumption_bps, v as portfolio_notional, {_r("mt", 6)} as mean_
   select run_id, date, {TICKER} as t, prediction, row_number() over (partition by run_id, date, {TICKER} order by scored_at desc nulls last, isnan(prediction) desc, prediction desc nulls last) as rn from predictions) where rn = 1),
 m as (select date, t as ticker, round(avg(p) + 1e-12, 9) as score from b group by date, t)
 select date, ticker, {_r("score")} as score, {_r(_pct("score", "date"))} as score_rank from m""",
-    "holding_factors": _with(f""", m as (select date, avg(close / open) - 1 as f from px group by date), a as (select date, product(1 + f) over w - 1 as c, count(*) over w as n from m window w as (order by date rows between 1 following and 5 following))
-select date, {_r("c", 6)} as "Mkt-RF" from a where n = 5 and date in (select max(date) from px group by date + ((12 - isodow(date)) % 7)::int)""", "px"),
+    "holding_factors": _with(f""", a as (select date, count(*) over w as n, {", ".join(f'product(1 + "{c}") over w - 1 as "{c}"' for c in _FACTORS)} from fs window w as (order by date rows between 1 following and 5 following))
+select date, {", ".join(f'{_r(chr(34) + c + chr(34), 6)} as "{c}"' for c in _FACTORS)} from a where n = 5 and date in (select date from wk)""", "fs", "wk"),
     "ridge_one_feature": _with("," + _ridge("0"), "fd", "ft"),
     "ridge_rolling": _with("," + _ridge("hi - 80"), "fd", "ft"),
-    "json_tickers": "select * from (values ('AAA', 321::bigint), ('BBB', 789::bigint)) t(ticker, cik)",
+    "json_tickers": f"select {TICKER} as ticker, max(cik) as cik from panel where cik is not null and ticker is not null group by 1",
 }
 
 _COMPANY_FACTS = f"""with r as (select distinct cik, feature, value, report_end, filed_date as filed, form, source_tag, accession from fundamental_facts where value is not null and filed_date is not null and report_end is not null),
