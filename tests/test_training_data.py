@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import checkpointed, fresh, latest_rows, small_table
+from tidemark.functions.common import checkpointed, fresh, latest_rows
 from tidemark.operators.history import version_history
 from tidemark.operators.known_asof import attach_known
 from tidemark.operators.snapshot_diff import snapshot_diff
@@ -34,13 +34,6 @@ def test_latest_rows_breaks_ties_and_keeps_nulls(spark):
         latest_rows(df, ["nope"], ["at"], ["v"])
 
 
-def test_small_table_is_bounded(spark):
-    assert small_table(spark.range(5), 4) is None
-    assert small_table(spark.range(5), 5).count() == 5
-    assert fresh(["rank", "RANK_1"], "rank") == "rank_2"
-    assert checkpointed(spark.range(3)).count() == 3
-
-
 def test_versions_by_bitmaps(spark):
     data = [
         ("A", day(0), day(0), True, "x"), ("A", day(5), day(5), True, "x"), ("A", day(9), day(9), False, "x"), ("A", day(9), day(12), True, None), ("A", day(20), day(20), True, None), ("A", day(30), day(30), True, "x"),

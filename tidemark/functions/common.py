@@ -75,16 +75,6 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     return agg.select(*keys, *[F.col(best)[c].alias(c) for c in names if c in values])
 
 
-def small_table(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """The table as driver-held rows if it has at most ``max_rows`` of them, else None.
-
-    At most ``max_rows + 1`` rows ever reach the driver. The result is a local relation whose size the planner
-    knows, so it is broadcast by the usual threshold and not by a hint.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; only a local master without one gets a temporary folder."""
     sc = spark.sparkContext

@@ -7,16 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import require_columns, row_hash, small_table
-
-#: Up to so many snapshots, their list is held by the driver; beyond it, it is joined as a table.
-MAX_LISTED = 20_000
+from tidemark.functions.common import require_columns, row_hash
 
 
 def snapshot_axis(df: DataFrame, snapshot: str, delivered: str | None) -> DataFrame:
     """(snapshot, delivered, k, next_snapshot): each snapshot's counting delivery and its successor.
 
-    The window has no key, but it runs over distinct snapshots, after an aggregate that combines on the map side.
+    The window has no key, but it runs over distinct snapshots, after an aggregate that combines on the map side. It is joined as a table.
     """
     order = Window.orderBy(snapshot)
     known = df.filter(F.col(snapshot).isNotNull())
@@ -39,9 +36,7 @@ def snapshot_diff(df: DataFrame, snapshot: str, key: Mapping[str, Column], compa
     """
     require_columns(df, [snapshot, *([delivered] if delivered else [])])
     names = list(key)
-    axis = snapshot_axis(df, snapshot, delivered)
-    listed = small_table(axis, MAX_LISTED)
-    axis = (axis if listed is None else listed).withColumnRenamed(snapshot, "axis_snapshot")
+    axis = snapshot_axis(df, snapshot, delivered).withColumnRenamed(snapshot, "axis_snapshot")
     rows = df.select(
         F.col(snapshot).alias("snap"),
         (F.col(delivered) if delivered else F.lit(None)).alias("snap_delivered"),
