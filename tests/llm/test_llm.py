@@ -1,7 +1,9 @@
 """Top N, percentile sketches, look-alikes, leakage and mixing against brute force."""
 
 import datetime as dt
+import itertools
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -13,6 +15,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import leakage, lookalike, mixture, quantiles
+from tidemark.llm.queries import VOCABULARY
 from tidemark.llm.top_n import top_n
 
 
@@ -63,6 +66,27 @@ def test_sketch_error_is_relative_to_the_tail(high, shape):
     assert max(rank_errors(whole, values, ps)) <= whole.rank_error() + 1e-3
 
 
+@pytest.mark.parametrize("high", [True, False])
+def test_sketch_error_of_published_percentiles(high):
+    values = np.exp(3 * np.random.default_rng(5).normal(size=150_000))
+    whole = quantiles.RelativeSketch(high=high)
+    for i, part in enumerate(np.array_split(values, 50)):
+        one = quantiles.RelativeSketch(high=high, salt=i)
+        one.update(part)
+        whole.merge(one)
+    assert whole.rank_error() > 0
+    assert max(rank_errors(whole, values, (0.5, 0.75, 0.95, 0.99) if high else (0.5, 0.25, 0.05, 0.01))) <= whole.rank_error() + 1e-4
+
+
+def test_sketches_are_passed_on_within_a_budget(spark):
+    data = [(i % 400, float(i)) for i in range(20_000)]
+    df = spark.createDataFrame(data, "g int, x double").coalesce(1)
+    with_budget = quantiles.sketch_groups(df, "g", ["x"], budget=100_000)
+    assert with_budget.count() > quantiles.sketch_groups(df, "g", ["x"]).count() == 400
+    out = quantiles.read_percentiles(quantiles.merge_sketches(with_budget, ["grp", "field"], 3), ["grp", "field"], {"p50": 0.5})
+    assert out.count() == 400 and {r["grp"]: r["p50"] for r in out.collect()} == {g: float(g + 400 * 24) for g in range(400)}
+
+
 def test_small_sketches_are_exact():
     values = np.random.default_rng(1).normal(size=300)
     sketch = quantiles.RelativeSketch()
@@ -282,6 +306,64 @@ def test_flow_routes_overlaps():
     assert mixture.plan_mix({}, {"a": (1.0, 1)}).total == 0
 
 
+def brute_cost(sizes, quotas, repeats):
+    """Least cost of integer flows that fill the quotas, by trying all; None if none does."""
+    states = {tuple(0 for _ in quotas): 0}
+    for p, n in sizes.items():
+        limit = max(repeats[s] for s in p)
+        steps = []
+        for amounts in itertools.product(*[range(n * repeats[s] + 1 if s in p else 1) for s in quotas]):
+            used = sum(amounts)
+            if used <= n * limit:
+                steps.append((amounts, sum(r * max(0, min(used - r * n, n)) for r in range(limit))))
+        after = {}
+        for got, cost in states.items():
+            for amounts, more in steps:
+                total = tuple(map(sum, zip(got, amounts, strict=True)))
+                if all(t <= q for t, q in zip(total, quotas.values(), strict=True)):
+                    after[total] = min(after.get(total, 10**9), cost + more)
+        states = after
+    return states.get(tuple(quotas.values()))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_optimal(seed):
+    rng = random.Random(seed)
+    sources = ["a", "b", "c"]
+    repeats = {s: rng.randrange(1, 4) for s in sources}
+    sizes = {p: rng.randrange(1, 4) for p in [("a",), ("b", "c"), ("a", "b"), ("c",)] if rng.random() < 0.9}
+    quotas = {s: rng.randrange(1, 5) for s in sources}
+    network = mixture.Network(sizes, {s: q / sum(quotas.values()) for s, q in quotas.items()}, repeats, sum(quotas.values()))
+    sent, want = network.send(), brute_cost(sizes, quotas, repeats)
+    assert (want is None) == (sent < sum(quotas.values()) - 1e-6)
+    if want is not None:
+        assert abs(network.cost() - want) < 1e-6
+    live = {s: quotas[s] for s in sources if any(s in p for p in sizes)}
+    shares = {s: q / sum(live.values()) for s, q in live.items()}
+    most = mixture.largest_total(sizes, shares, repeats)
+    assert mixture.Network(sizes, shares, repeats, most).send() >= most - 1e-3 and mixture.Network(sizes, shares, repeats, most * 1.001 + 0.01).send() < most * 1.001 + 0.009
+    assert all(most * sum(shares[s] for s in g) <= sum(n * min(max(repeats[s] for s in p), sum(repeats[s] for s in p if s in g)) for p, n in sizes.items()) + 1e-3 for k in range(1, 4) for g in itertools.combinations(live, k))
+
+
+def test_flow_of_many_patterns_is_quick():
+    rng = random.Random(0)
+    sources = [f"s{i}" for i in range(24)]
+    sizes = {tuple(sorted(rng.sample(sources, rng.randrange(1, 6)))): rng.randrange(1, 10**9) for _ in range(4000)}
+    started = time.time()
+    plan = mixture.plan_mix(sizes, {s: (1 / 24, 4) for s in sources})
+    assert time.time() - started < 60 and all(abs(sum(f.get(s, 0) for f in plan.flows.values()) - q) < 1e-3 * q for s, q in plan.quotas.items())
+
+
+def test_rare_patterns_stay_drawable(spark):
+    docs = [(n, f"text {n} " * (1 + n % 5), s) for n in range(300) for s in ("a", "b", "c")[: 1 + n % 3]]
+    a = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    own = {"a": 2100, "b": 1400, "c": 700}
+    for most in (1, 2, 10):
+        got = {r["source"]: r for r in mixture.draw_mix(a, t, "doc_id", "text", "source", vocabulary=VOCABULARY, most_patterns=most)[1].collect()}
+        assert all(abs(got[s]["actual_share"] - x) < 0.03 and got[s]["available_tokens"] == own[s] for s, x in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+
+
 def test_mix_reaches_its_shares(spark):
     rng = random.Random(6)
     words = ["roof", "pays", "the", "quarter", "lends", "some", "valve"]
@@ -289,11 +371,11 @@ def test_mix_reaches_its_shares(spark):
     docs += [(5000 + n, docs[n][1], "copy") for n in range(300)] + [(9000, None, "big"), (9001, "", "big"), (9002, "twice", "big"), (9003, "twice", "big")]
     a = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("tokens", F.lit(1))
     t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 3), ("copy", 0.1, 2), ("absent", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    mix, report = mixture.draw_mix(a, t, "doc_id", "text", "source")
+    mix, report = mixture.draw_mix(a, t, "doc_id", "text", "source", vocabulary=VOCABULARY)
     got = {r["source"]: r for r in report.collect()}
     assert got["absent"]["drawn_tokens"] == 0 and got.keys() == {"big", "small", "copy", "absent"}
     for s, share in (("big", 5 / 9), ("small", 3 / 9), ("copy", 1 / 9)):
-        assert abs(got[s]["actual_share"] - share) < 0.015
+        assert abs(got[s]["actual_share"] - share) < 0.015 and got[s]["reachable_share"] == pytest.approx(share) and got[s]["target_share"] == pytest.approx(share * 0.9)
     drawn = mix.collect()
     source_of = {d: s for d, _, s in docs}
     caps = {"big": 1, "small": 3, "copy": 2}
@@ -301,7 +383,7 @@ def test_mix_reaches_its_shares(spark):
     assert max(Counter((r["id"], r["source"]) for r in drawn).values()) == 1
     small = sum(r["tokens"] * r["repeats"] for r in drawn if r["source"] == "small")
     assert small == got["small"]["drawn_tokens"] and got["small"]["most_repeats"] <= 3
-    assert sorted(map(tuple, mixture.draw_mix(a, t, "doc_id", "text", "source")[0].collect())) == sorted(map(tuple, drawn))
-    limited = mixture.draw_mix(a, t, "doc_id", "text", "source", total_tokens=2000)[1].agg(F.sum("drawn_tokens")).first()[0]
+    assert sorted(map(tuple, mixture.draw_mix(a, t, "doc_id", "text", "source", vocabulary=VOCABULARY)[0].collect())) == sorted(map(tuple, drawn))
+    limited = mixture.draw_mix(a, t, "doc_id", "text", "source", total_tokens=2000, vocabulary=VOCABULARY)[1].agg(F.sum("drawn_tokens")).first()[0]
     assert abs(limited - 2000) < 400
-    assert mixture.draw_mix(a.limit(0), t, "doc_id", "text", "source")[0].count() == 0
+    assert mixture.draw_mix(a.limit(0), t, "doc_id", "text", "source", vocabulary=VOCABULARY)[0].count() == 0

@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import checkpointed, require_columns
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 4096
 EPS = 1e-7
+SEPARATOR = "\x1f"
+#: Membership patterns that are planned as such; texts of rarer ones are planned for one of their sources.
+MOST_PATTERNS = 4096
 
 
-def token_sizes(docs: DataFrame, identifier: str, text: str, source: str, vocabulary: str = TOKENIZER) -> DataFrame:
+def token_sizes(docs: DataFrame, identifier: str, text: str, source: str, vocabulary: str) -> DataFrame:
     """(id, source, t1, t2, tokens): tokens of the whole text, and a 128-bit hash that tells equal texts. Null texts have none.
 
-    The vocabulary file (under a megabyte) is read on the driver and sent along, so executors need no copy.
+    ``vocabulary``: path of the ranks of the public byte-level vocabulary of 50,256 entries. The file (under a megabyte) is read on the driver and sent along, so executors need no copy.
     """
     with open(vocabulary, "rb") as f:
         ranks = f.read()
@@ -45,46 +47,64 @@ def token_sizes(docs: DataFrame, identifier: str, text: str, source: str, vocabu
 
 
 class Flow:
-    """Min-cost flow by successive cheapest paths (Bellman-Ford); meant for a few hundred nodes."""
+    """Maximum flow by levelled augmentation; capacities may be raised between runs, and flow once sent stays."""
 
     def __init__(self, nodes: int):
         self.nodes = nodes
-        self.arcs: list[list] = []  # [to, capacity left, cost]; arc k ^ 1 is the reverse of arc k
+        self.head: list[int] = []  # arc k ^ 1 is the reverse of arc k
+        self.left: list[float] = []
         self.out: list[list[int]] = [[] for _ in range(nodes)]
 
-    def arc(self, a: int, b: int, capacity: float, cost: float) -> int:
-        self.out[a].append(len(self.arcs))
-        self.arcs.append([b, capacity, cost])
-        self.out[b].append(len(self.arcs))
-        self.arcs.append([a, 0.0, -cost])
-        return len(self.arcs) - 2
+    def arc(self, a: int, b: int, capacity: float) -> int:
+        """Add an arc; its number."""
+        for tail, head, room in ((a, b, capacity), (b, a, 0.0)):
+            self.out[tail].append(len(self.head))
+            self.head.append(head)
+            self.left.append(room)
+        return len(self.head) - 2
+
+    def levels(self, start: int) -> list[int]:
+        """Arcs from ``start`` to each node over arcs with room, -1 where none lead."""
+        level, reached = [-1] * self.nodes, [start]
+        level[start] = 0
+        for a in reached:
+            for k in self.out[a]:
+                if self.left[k] > EPS and level[self.head[k]] < 0:
+                    level[self.head[k]] = level[a] + 1
+                    reached.append(self.head[k])
+        return level
 
     def run(self, start: int, end: int) -> float:
-        """Send as much as can be sent, at least cost; the amount sent."""
+        """Send as much more as can be sent; the amount."""
         sent = 0.0
-        while True:
-            dist, via = [float("inf")] * self.nodes, [-1] * self.nodes
-            dist[start] = 0.0
-            changed = True
-            while changed:
-                changed = False
-                for a in range(self.nodes):
-                    if dist[a] < float("inf"):
-                        for k in self.out[a]:
-                            b, left, cost = self.arcs[k]
-                            if left > EPS and dist[a] + cost < dist[b] - EPS:
-                                dist[b], via[b], changed = dist[a] + cost, k, True
-            if dist[end] == float("inf"):
-                return sent
-            path, at = [], end
-            while at != start:
-                path.append(via[at])
-                at = self.arcs[via[at] ^ 1][0]
-            amount = min(self.arcs[k][1] for k in path)
-            for k in path:
-                self.arcs[k][1] -= amount
-                self.arcs[k ^ 1][1] += amount
-            sent += amount
+        while (level := self.levels(start))[end] >= 0:
+            turn = [0] * self.nodes
+            path: list[int] = []
+            at = start
+            while True:
+                if at == end:
+                    amount = min(self.left[k] for k in path)
+                    sent += amount
+                    for k in path:
+                        self.left[k] -= amount
+                        self.left[k ^ 1] += amount
+                    cut = next(i for i, k in enumerate(path) if self.left[k] <= EPS)
+                    at = self.head[path[cut] ^ 1]
+                    del path[cut:]
+                while turn[at] < len(self.out[at]):
+                    k = self.out[at][turn[at]]
+                    if self.left[k] > EPS and level[self.head[k]] == level[at] + 1:
+                        break
+                    turn[at] += 1
+                if turn[at] < len(self.out[at]):
+                    path.append(k)
+                    at = self.head[k]
+                elif path:
+                    at = self.head[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
+        return sent
 
 
 @dataclass(frozen=True)
@@ -97,20 +117,58 @@ class MixPlan:
     sizes: dict[tuple[str, ...], int]
 
 
-def _route(sizes: Mapping[tuple[str, ...], int], shares: Mapping[str, float], repeats: Mapping[str, int], total: float) -> tuple[float, dict]:
-    patterns, sources = list(sizes), list(shares)
-    flow = Flow(2 + len(patterns) + len(sources))
-    at = {s: 2 + len(patterns) + i for i, s in enumerate(sources)}
-    arcs = {}
-    for i, p in enumerate(patterns):
-        for r in range(max(repeats[s] for s in p)):  # convex: the r-th repetition of a text costs r
-            flow.arc(0, 2 + i, sizes[p], r)
-        for s in p:
-            arcs[p, s] = flow.arc(2 + i, at[s], sizes[p] * repeats[s], 0)
-    for s in sources:
-        flow.arc(at[s], 1, shares[s] * total, 0)
-    sent = flow.run(0, 1)
-    return sent, {k: flow.arcs[a ^ 1][1] for k, a in arcs.items()}
+class Network:
+    """Patterns routed to sources. Repetition r of a pattern's tokens costs r, so costs rise on the arcs into patterns only, and cheapest paths are those of the least repetition
+    that has room: capacity is opened repetition by repetition, and flow sent before is never called back."""
+
+    def __init__(self, sizes: Mapping[tuple[str, ...], int], shares: Mapping[str, float], repeats: Mapping[str, int], total: float):
+        self.sizes, self.shares, self.total = sizes, shares, total
+        self.flow = Flow(2 + len(sizes) + len(shares))
+        self.at = {s: 2 + len(sizes) + i for i, s in enumerate(shares)}
+        self.rounds = {p: max(repeats[s] for s in p) for p in sizes}
+        self.enter = {p: self.flow.arc(0, 2 + i, 0.0) for i, p in enumerate(sizes)}
+        self.route = {(p, s): self.flow.arc(2 + i, self.at[s], sizes[p] * repeats[s]) for i, p in enumerate(sizes) for s in p}
+        for s in shares:
+            self.flow.arc(self.at[s], 1, shares[s] * total)
+
+    def send(self) -> float:
+        """Fill the quotas at least cost; the amount sent."""
+        sent = 0.0
+        for r in range(max(self.rounds.values(), default=0)):
+            for p, k in self.enter.items():
+                if r < self.rounds[p]:
+                    self.flow.left[k] += self.sizes[p]
+            sent += self.flow.run(0, 1)
+            if sent >= self.total - EPS:
+                break
+        return sent
+
+    def flows(self) -> dict[tuple[tuple[str, ...], str], float]:
+        """Tokens that each pattern gives to each source."""
+        return {key: self.flow.left[k ^ 1] for key, k in self.route.items()}
+
+    def cost(self) -> float:
+        """Sum over repetitions of their number times their tokens."""
+        used = {p: self.flow.left[k ^ 1] for p, k in self.enter.items()}
+        return sum(r * max(0.0, min(used[p] - r * n, n)) for p, n in self.sizes.items() for r in range(self.rounds[p]))
+
+    def short(self) -> float:
+        """After ``send``: the share of the sources whose quotas are cut off from the patterns with room, 1 less that share being what limits the total."""
+        level = self.flow.levels(0)
+        return sum(x for s, x in self.shares.items() if level[self.at[s]] >= 0)
+
+
+def largest_total(sizes: Mapping[tuple[str, ...], int], shares: Mapping[str, float], repeats: Mapping[str, int]) -> float:
+    """The largest total at which every quota can be filled: from above, each minimal cut gives the total that it allows, until one fits."""
+    total = float(sum(n * max(repeats[s] for s in p) for p, n in sizes.items()))
+    for _ in range(2 + 2 ** min(len(shares), 20)):
+        network = Network(sizes, shares, repeats, total)
+        sent = network.send()
+        if sent >= total * (1 - 1e-9) - 1e-3:
+            break
+        share = network.short()  # sent = constant + share * total
+        total = (sent - share * total) / (1 - share)
+    return total
 
 
 def plan_mix(sizes: Mapping[tuple[str, ...], int], targets: Mapping[str, tuple[float, int]], total: float | None = None) -> MixPlan:
@@ -131,18 +189,37 @@ def plan_mix(sizes: Mapping[tuple[str, ...], int], targets: Mapping[str, tuple[f
         return MixPlan(0.0, {}, {}, {})
     shares = {s: targets[s][0] / whole for s in live}
     repeats = {s: int(targets[s][1]) for s in live}
-    low, high = 0.0, float(sum(n * max(repeats[s] for s in p) for p, n in kept.items()))
-    for _ in range(60):
-        middle = (low + high) / 2
-        fits = _route(kept, shares, repeats, middle)[0] >= middle * (1 - 1e-9) - 1e-3
-        low, high = (middle, high) if fits else (low, middle)
-    size = low if total is None else min(low, total)
-    _, flows = _route(kept, shares, repeats, size)
+    most = largest_total(kept, shares, repeats)
+    size = most if total is None else min(most, total)
+    network = Network(kept, shares, repeats, size)
+    network.send()
+    flows = network.flows()
     return MixPlan(size, {s: shares[s] * size for s in live}, {p: {s: flows[p, s] for s in p} for p in kept}, kept)
 
 
+def pattern_sizes(texts: DataFrame, targets: Mapping[str, tuple[float, int]], most: int) -> tuple[DataFrame, dict[tuple[str, ...], int], dict[str, int]]:
+    """(texts, sizes, available): tokens of each membership pattern, and of each source. At most ``most`` patterns, the largest, reach the driver, and one more for each source.
+
+    Texts of rarer patterns stay, each under the pattern of one of its sources: drawn by the text's hash, the likelier the fewer tokens a source has for its share.
+    """
+    counted = lambda df: df.groupBy("pattern").agg(F.sum("tokens").alias("n"))
+    split = lambda rows: {tuple(r["pattern"].split(SEPARATOR)): r["n"] for r in rows}
+    rows = counted(texts).orderBy(F.desc("n"), "pattern").limit(most + 1).collect()
+    if len(rows) <= most:
+        sizes = split(rows)
+        return texts, sizes, {s: sum(n for p, n in sizes.items() if s in p) for s in targets}
+    own = texts.select(F.explode("members.source").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").alias("n")).collect()
+    available = {r["source"]: r["n"] for r in own}
+    need = F.create_map(*[x for s, n in available.items() for x in (F.lit(s), F.lit(max(targets[s][0], 1e-9) / n))])
+    listed = texts.sparkSession.createDataFrame([(r["pattern"], True) for r in rows[:most]], "pattern string, listed boolean")
+    chance = lambda s: (F.pmod(F.xxhash64("t1", "t2", s), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    one = F.array_min(F.transform("members.source", lambda s: F.struct((-F.ln(chance(s)) / F.element_at(need, s)).alias("wait"), s.alias("source"))))["source"]
+    kept = checkpointed(texts.join(listed, "pattern", "left").withColumn("pattern", F.when(F.col("listed"), F.col("pattern")).otherwise(one)).drop("listed"))
+    return kept, split(counted(kept).collect()), {s: available.get(s, 0) for s in targets}
+
+
 def draw_mix(
-    docs: DataFrame, targets: DataFrame, identifier: str, text: str, source: str, share: str = "target_share", max_repeats: str = "max_repeats", total_tokens: float | None = None, seed: int = 7, vocabulary: str = TOKENIZER
+    docs: DataFrame, targets: DataFrame, identifier: str, text: str, source: str, share: str = "target_share", max_repeats: str = "max_repeats", total_tokens: float | None = None, seed: int = 7, *, vocabulary: str, most_patterns: int = MOST_PATTERNS,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, report): documents with the number of times each is used for its source, and the shares reached.
 
@@ -153,10 +230,11 @@ def draw_mix(
     one document per pattern and source. Of copies within a source the least id is drawn.
 
     The order is laid out as a prefix sum in two levels, 4096 hash buckets per pattern and rows within a bucket, so no pattern is sorted in one
-    task. Only the pattern totals reach the driver: at most one row per set of target sources.
+    task. Only pattern totals reach the driver, at most ``most_patterns`` and one per source; a text of a rarer pattern is drawn for one of its sources only.
 
-    mix: (id, source, repeats, tokens). report: (source, target_share, max_repeats, available_tokens, quota_tokens, drawn_tokens, drawn_documents,
-    most_repeats, actual_share), a row per target source, also for those without documents. Sources absent from ``targets``, null
+    ``vocabulary``: path of the token ranks. mix: (id, source, repeats, tokens). report: (source, target_share, reachable_share, max_repeats, available_tokens, quota_tokens, drawn_tokens,
+    drawn_documents, most_repeats, actual_share), a row per target source, also for those without documents; ``reachable_share`` is the target's part of the targets of sources that have
+    documents, which ``actual_share`` approaches, and 0 for those without. Sources absent from ``targets``, null
     sources, null and empty texts aren't drawn. Rows of ``targets`` with a null source, share or repetition count are left out; if a source is
     targeted twice, the greatest share counts. Empty documents or targets give an empty mix.
     """
@@ -168,9 +246,9 @@ def draw_mix(
     per_source = sized.groupBy("t1", "t2", "source").agg(F.min("id").alias("id"), F.max("tokens").alias("tokens"))
     texts = per_source.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("source", "id"))).alias("members"), F.max("tokens").alias("tokens"))
     spot = F.xxhash64("t1", "t2", F.lit(seed))
-    texts = checkpointed(texts.select("members", "tokens", F.array_join("members.source", "\x1f").alias("pattern"), F.pmod(spot, F.lit(BUCKETS)).cast("int").alias("bucket"), spot.alias("spot"), "t1", "t2"))
+    texts = checkpointed(texts.select("members", "tokens", F.array_join("members.source", SEPARATOR).alias("pattern"), F.pmod(spot, F.lit(BUCKETS)).cast("int").alias("bucket"), spot.alias("spot"), "t1", "t2"))
+    texts, sizes, available = pattern_sizes(texts, wanted, most_patterns)
     by_bucket = texts.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("size"))
-    sizes = {tuple(r["pattern"].split("\x1f")): r["n"] for r in by_bucket.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     plan = plan_mix(sizes, wanted, total_tokens)
     # A pattern's uses are laid end to end on a circle of its documents: source by source, each an interval.
     parts = []
@@ -178,11 +256,9 @@ def draw_mix(
         live = tuple(sorted(s for s in pattern if s in plan.quotas))
         if live not in plan.flows:
             continue
-        again = [p for p in sizes if tuple(sorted(s for s in p if s in plan.quotas)) == live]
-        fraction = sizes[pattern] / sum(sizes[p] for p in again)
-        start = 0.0
+        fraction, start = sizes[pattern] / plan.sizes[live], 0.0  # patterns that differ in dead sources only share their flow
         for s, amount in plan.flows[live].items():
-            parts.append(("\x1f".join(pattern), s, float(sizes[pattern]), start, start + amount * fraction))
+            parts.append((SEPARATOR.join(pattern), s, float(sizes[pattern]), start, start + amount * fraction))
             start += amount * fraction
     cuts = spark.createDataFrame(parts, "pattern string, use string, circle double, lo double, hi double")
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -195,8 +271,9 @@ def draw_mix(
         .select(F.expr("filter(members, m -> m.source = use)[0].id").alias("id"), F.col("use").alias("source"), uses.cast("int").alias("repeats"), "tokens")
         .filter("repeats > 0")
     )
-    rows = [(s, x, m, int(sum(n for p, n in sizes.items() if s in p)), float(plan.quotas.get(s, 0.0))) for s, (x, m) in sorted(wanted.items())]
-    base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens bigint, quota_tokens double")
+    whole = sum(wanted[s][0] for s in plan.quotas) or 1.0
+    rows = [(s, x, x / whole if s in plan.quotas else 0.0, m, int(available[s]), float(plan.quotas.get(s, 0.0))) for s, (x, m) in sorted(wanted.items())]
+    base = spark.createDataFrame(rows, "source string, target_share double, reachable_share double, max_repeats int, available_tokens bigint, quota_tokens double")
     drawn = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.count("*").alias("drawn_documents"), F.max("repeats").alias("most_repeats"))
     report = base.join(drawn, "source", "left").na.fill(0, ["drawn_tokens", "drawn_documents", "most_repeats"])
     all_tokens = F.sum("drawn_tokens").over(Window.partitionBy())

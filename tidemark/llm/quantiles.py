@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.common import require_columns
 
 SECTION = 64
+#: Bytes of a sketch besides its values.
+OVERHEAD = 1000
 
 
 class RelativeSketch:
@@ -105,6 +107,10 @@ class RelativeSketch:
         one (three standard deviations)."""
         return 0.0 if len(self.levels) == 1 else 3 / self.section
 
+    def footprint(self) -> int:
+        """Memory held, roughly."""
+        return OVERHEAD + 8 * sum(map(len, self.levels))
+
     def pack(self) -> bytes:
         """Bytes that ``unpack`` reads."""
         head = struct.pack("<qqqqq", self.section, self.high, self.salt, self.n, len(self.levels))
@@ -124,18 +130,28 @@ class RelativeSketch:
         return out
 
 
-def sketch_groups(df: DataFrame, group: str, fields: Sequence[str], section: int = SECTION) -> DataFrame:
-    """(group, field, part, low, high): one sketch per group, field and task, protecting the least and the greatest values.
+def sketch_groups(df: DataFrame, group: str, fields: Sequence[str], section: int = SECTION, budget: int = 64 << 20) -> DataFrame:
+    """(group, field, part, low, high): sketches per group and field, protecting the least and the greatest values; one or more of each task.
 
     No shuffle: a hot group is sketched wherever its rows lie. Null and NaN values are missing and not counted; infinite values are ordered as
-    such. Memory per task: the sketches of the groups it sees.
+    such. A task holds the sketches of the groups it sees up to about ``budget`` bytes; then it passes them on and begins anew, as merging doesn't mind how many parts there are.
     """
     require_columns(df, [group, *fields])
 
+    def flush(held: dict[tuple, tuple[RelativeSketch, RelativeSketch]], part: int) -> pa.RecordBatch:
+        keys = list(held)
+        cols = [pa.array([k[0] for k in keys], kind), pa.array([k[1] for k in keys], pa.string()), pa.array([part] * len(keys), pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array([held[k][i].pack() for k in keys], pa.binary()) for i in (0, 1))], ["grp", "field", "part", "low", "high"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[RelativeSketch, RelativeSketch]] = {}
-        part = None
+        part, size = None, 0
         for batch in batches:
+            if held and size > budget:
+                size = sum(sketch.footprint() for pair in held.values() for sketch in pair)  # after compaction
+                if size > budget:
+                    yield flush(held, part)
+                    held, part, size = {}, None, 0
             if not batch.num_rows:
                 continue
             coded = batch.column(0).dictionary_encode()
@@ -156,12 +172,12 @@ def sketch_groups(df: DataFrame, group: str, fields: Sequence[str], section: int
                         part = xxhash.xxh64_intdigest(repr(key).encode() + values.tobytes()) >> 2
                     if key not in held:
                         held[key] = (RelativeSketch(section, False, part), RelativeSketch(section, True, part))
+                        size += 2 * OVERHEAD
                     for sketch in held[key]:
                         sketch.update(values)
+                        size += 8 * len(values)
         if held:
-            keys = list(held)
-            cols = [pa.array([k[0] for k in keys], kind), pa.array([k[1] for k in keys], pa.string()), pa.array([part] * len(keys), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([held[k][i].pack() for k in keys], pa.binary()) for i in (0, 1))], ["grp", "field", "part", "low", "high"])
+            yield flush(held, part)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -169,10 +185,10 @@ def sketch_groups(df: DataFrame, group: str, fields: Sequence[str], section: int
     return df.select(F.col(group).alias("grp"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(fields)]).mapInArrow(run, f"grp {dict(df.dtypes)[group]}, field string, part bigint, low binary, high binary")
 
 
-def merge_sketches(sketches: DataFrame, by: Mapping[str, F.Column] | Sequence[str], fan_in: int = 64) -> DataFrame:
+def merge_sketches(sketches: DataFrame, by: Mapping[str, F.Column] | Sequence[str], fan_in: int = 1024) -> DataFrame:
     """Merge sketches of parts, days or whatever shares the key ``by``: (by..., low, high).
 
-    First within 64 subgroups of the parts of each key, then those, so that no task merges more than a fraction of a key's parts.
+    First within ``fan_in`` subgroups of the parts of each key, then those, so that no task merges more than a fraction of a key's parts.
     """
     keys = dict(by) if isinstance(by, Mapping) else {c: F.col(c) for c in by}
     names = list(keys)

@@ -13,6 +13,8 @@ from tidemark.llm.quantiles import group_percentiles, merge_sketches, read_perce
 from tidemark.llm.top_n import top_n
 
 PERCENTILES = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: The public byte-level vocabulary that sizes of texts are counted in.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MEASURES = ["dollar_volume_20d", "volatility_20d"]
 
 
@@ -43,6 +45,20 @@ def p6_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_percentiles(months, ["month", "field"], PERCENTILES)
 
 
+def p6_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles of all rows together, far more than a sketch holds uncompacted, keep the stated error: ranks counted in the whole table."""
+    rows = _features(spark, sf_dir).select(F.lit(True).alias("all"), *MEASURES)
+    found = {r["field"]: r for r in group_percentiles(rows, "all", MEASURES, PERCENTILES).collect()}  # a row per measure
+    counts = [
+        F.struct(F.lit(f).alias("field"), F.lit(name).alias("percentile"), F.lit(p).alias("p"), F.lit(found[f]["rank_error"] if f in found else 0.0).alias("error"), F.count(f).alias("n"),
+                 F.count(F.when(F.col(f) < F.lit(found[f][name] if f in found else None).cast("double"), 1)).alias("below"), F.count(F.when(F.col(f) <= F.lit(found[f][name] if f in found else None).cast("double"), 1)).alias("upto"))
+        for f in MEASURES for name, p in PERCENTILES.items()
+    ]
+    rank, tail = F.ceil(F.col("p") * F.col("n")), F.least(F.col("p"), 1 - F.col("p")) * F.col("n")
+    away = F.greatest(F.col("below") + 1 - rank, rank - F.col("upto"), F.lit(0))
+    return rows.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*").select("field", "percentile", "n", (F.col("error") > 0).alias("compacted"), (away <= F.col("error") * tail + 1).alias("within"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items and the pages that hold a passage of them."""
     return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
@@ -57,13 +73,13 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn pages, with the number of times each is used."""
-    mix, _ = draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")
+    mix, _ = draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", vocabulary=VOCABULARY)
     return mix.withColumnRenamed("id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares of tokens that the mix reaches."""
-    return draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[1]
+    return draw_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", vocabulary=VOCABULARY)[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +100,7 @@ def p10_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p6_percentiles": p6_percentiles, "p6_monthly": p6_monthly, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_unified": p10_unified,
+    "p2_found": p2_found, "p6_percentiles": p6_percentiles, "p6_monthly": p6_monthly, "p6_bounds": p6_bounds, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_unified": p10_unified,
 }
 
 TICKER = "upper(replace(trim(ticker, ' ' || chr(9) || chr(10) || chr(13)), '.', '-'))"
@@ -96,6 +112,11 @@ with c as (select run_id, date, t, case when isnan(prediction) then null else pr
          row_number() over (partition by run_id, date, {TICKER} order by scored_at desc nulls last, isnan(prediction) desc, prediction desc nulls last) as rn from predictions) where rn = 1)
 select run_id, strftime(date, '%Y-%m-%d') as date, t as ticker from (
   select *, row_number() over (partition by run_id, date order by p desc, t) as rk from c where p is not null) where rk <= 3""",
+    "p6_bounds": f"""
+with f as (select distinct date, {TICKER} as t, case when not isnan(return_1d) then return_1d end as r, case when not isnan(dollar_volume_20d) then dollar_volume_20d end as dv,
+                  case when not isnan(volatility_20d) then volatility_20d end as vo from features),
+n as (select 'dollar_volume_20d' as field, count(dv) as n from f union all select 'volatility_20d', count(vo) from f)
+select field, p as percentile, n, n > 384 as compacted, true as within from n, (select unnest(['p01', 'p50', 'p95', 'p99']) as p)""",
     # At scale 0.01 no day has more values than a sketch holds uncompacted, so the percentiles are exact there.
     "p6_percentiles": f"""
 with f as (select distinct date, {TICKER} as t, case when not isnan(return_1d) then return_1d end as r, case when not isnan(dollar_volume_20d) then dollar_volume_20d end as dv,
