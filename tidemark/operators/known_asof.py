@@ -37,39 +37,46 @@ def version_points(records: DataFrame, order: Sequence[str], record_id: str, kno
     return forced.withColumn("was", F.lag(state).over(by_day)).filter(F.col("was").isNull() | (F.col("was") != state)).drop("was")
 
 
-def number_events(events: DataFrame, points: DataFrame, salts: int = 8) -> DataFrame:
+def every_salt(salts: int) -> Column:
+    """One row for each salt."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+
+
+def number_events(events: DataFrame, points: DataFrame, salts: int) -> DataFrame:
     """Events with ``version``, the number of change days of their entity up to and including theirs, and ``flag``.
 
-    ``events`` has ``entity``, ``ts``, ``spread`` and ``row`` (a struct that is carried along); ``points`` has ``entity``, ``ts`` and
+    ``events`` has ``entity``, ``ts``, ``salt`` and ``row`` (a struct that is carried along); ``points`` has ``entity``, ``ts`` and
     ``flag``, one row for each change day of an entity. The numbering is a cumulative count over narrow rows; ``flag``
     is that of the last change day. Events before the first change day have version 0. An entity's events are
-    spread over ``salts`` windows by the hash of ``spread``, and its few change days repeated for each, so one entity with a third of all
+    spread over ``salts`` windows, and its few change days repeated for each, so one entity with a third of all
     events isn't sorted in one task.
     """
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    narrow = events.select("entity", "ts", F.pmod(F.xxhash64("spread"), F.lit(salts)).alias("salt"), "row").unionByName(
-        points.select("entity", "ts", every.alias("salt"), F.lit(1).alias("step"), "flag"), allowMissingColumns=True
-    )
+    narrow = events.unionByName(points.select("entity", "ts", every_salt(salts).alias("salt"), F.lit(1).alias("step"), "flag"), allowMissingColumns=True)
     w = Window.partitionBy("entity", "salt").orderBy(F.col("ts"), F.col("step").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = narrow.withColumns({"version": F.coalesce(F.sum("step").over(w), F.lit(0)), "flag": F.last("flag", ignorenulls=True).over(w)})
-    return counted.filter("step is null").select("entity", "ts", "row", "version", "flag")
+    return counted.filter("step is null").select("entity", "ts", "salt", "row", "version", "flag")
 
 
 def change_days(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(days, wide): numbered change days of each entity, and per (entity, version, feature) the record ids in force."""
+    """(days, wide): numbered change days of each entity, and per (entity, version, feature) the record ids in force.
+
+    Each change day meets each of its entity's features once, and the state is filled forward: as many rows as the result has, and those before a feature's first change.
+    """
     days = points.groupBy("entity", "ts").agg(F.lit(1).alias("one")).select("entity", "ts", F.row_number().over(Window.partitionBy("entity").orderBy("ts")).alias("version"))
-    spans = points.withColumn("until", F.lead("ts").over(Window.partitionBy("entity", "feature").orderBy("ts"))).withColumnRenamed("ts", "since")
-    inside = (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    wide = days.join(spans, "entity").filter(inside).select("entity", "ts", "version", "feature", "known", "plain")
-    return days, wide
+    grid = days.join(points.select("entity", "feature").distinct(), "entity")
+    at_day = points.select("entity", "feature", "ts", F.struct("known", "plain").alias("change"))
+    so_far = Window.partitionBy("entity", "feature").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = grid.join(at_day, ["entity", "feature", "ts"], "left").withColumn("state", F.last("change", ignorenulls=True).over(so_far))
+    return days, filled.filter("state is not null").select("entity", "version", "feature", "state.known", "state.plain")
 
 
-def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], record_id: str, known_from: Column, valid_from: Column, spread: Column, differing_only: bool = False) -> DataFrame:
+def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], record_id: str, known_from: Column, valid_from: Column, spread: Column, differing_only: bool = False, salts: int = 16) -> DataFrame:
     """Join each event with the record that was valid and already known at its time, per feature.
 
     ``events``: ``entity``, ``ts`` (date) and columns to keep. ``records``: ``entity``, ``feature`` and the columns of
     ``order``, ``record_id``. Each event gets a version number by a cumulative change count over narrow rows and is
-    equi-joined with the history on (entity, version); a record that became known later is never attached.
+    equi-joined with the history on (entity, version); a record that became known later is never attached. Events of an entity, also those of one long-lived version,
+    are spread over ``salts`` tasks by the hash of ``spread``, in the count and in the join; the history, the small side, is repeated for each.
 
     Result: the events' columns, ``feature``, ``known`` (the record id to attach, null if none is known yet) and
     ``plain`` (the one without regard to availability); a name that the events have already gets a number. An event yields a row for each feature of its entity
@@ -90,7 +97,8 @@ def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], re
     else:
         days = days.withColumn("flag", F.lit(True))
     carried = [c for c in events.columns if c not in ("entity", "ts")]
-    timed = events.filter("entity is not null and ts is not null").select("entity", "ts", spread.alias("spread"), F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).alias("row"))
-    numbered = number_events(timed, days.select("entity", "ts", "flag")).filter("version > 0 and flag").drop("flag")
-    joined = numbered.join(wide.drop("ts"), ["entity", "version"])
+    row = F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
+    timed = events.filter("entity is not null and ts is not null").select("entity", "ts", F.pmod(F.xxhash64(spread), F.lit(salts)).alias("salt"), row.alias("row"))
+    numbered = number_events(timed, days.select("entity", "ts", "flag"), salts).filter("version > 0 and flag").drop("flag")
+    joined = numbered.join(wide.withColumn("salt", every_salt(salts)), ["entity", "version", "salt"])
     return joined.select("entity", "ts", *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carried)], *[F.col(c).alias(fresh(events.columns, c)) for c in ("feature", "known", "plain")])

@@ -56,26 +56,25 @@ def p3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_history(updates, "ticker", "effective_date", ["in_universe", "sector"], "as_of")
 
 
-def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["effective_date", "metadata_available_date", "record_id"]
-    return table(spark, sf_dir, "universe_history").select(canonical_ticker("ticker").alias("entity"), F.lit("universe").alias("feature"), *columns)
-
-
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "fundamental_facts").select(F.col("cik").alias("entity"), "feature", "filed_date", "available_date", "report_end", "record_id")
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Universe records by ticker and facts by company as one history: entity, feature, two order columns, and the days from which a record is valid and known."""
+    effective, available = F.col("effective_date"), F.col("metadata_available_date")
+    both = F.when(available.isNotNull() & effective.isNotNull(), F.greatest(effective, available))
+    universe = table(spark, sf_dir, "universe_history").select(
+        F.concat(F.lit("t"), canonical_ticker("ticker")).alias("entity"), F.lit("universe").alias("feature"), effective.alias("first"), available.alias("second"), "record_id", both.alias("known_from"), effective.alias("valid_from")
+    )
+    facts = table(spark, sf_dir, "fundamental_facts").select(
+        F.concat(F.lit("c"), F.col("cik").cast("string")).alias("entity"), "feature", F.col("available_date").alias("first"), F.col("report_end").alias("second"), "record_id", F.col("available_date").alias("known_from"), F.col("filed_date").alias("valid_from")
+    )
+    return universe.unionByName(facts)
 
 
 def _attached(spark: SparkSession, sf_dir: str, differing_only: bool) -> DataFrame:
+    """Each bar is an event of its ticker and one of its company; both go through one numbering and one join."""
     bars = counting_bars(spark, sf_dir, "cik").withColumnRenamed("date", "ts")
-    effective, available = F.col("effective_date"), F.col("metadata_available_date")
-    both = F.when(available.isNotNull() & effective.isNotNull(), F.greatest(effective, available))
-    by_ticker = attach_known(
-        bars.select(F.col("ticker").alias("entity"), "ts"), _universe(spark, sf_dir), ["effective_date", "metadata_available_date"], "record_id", both, effective, F.col("ts"), differing_only
-    ).withColumnRenamed("entity", "ticker")
-    by_cik = attach_known(
-        bars.select(F.col("cik").alias("entity"), "ts", "ticker"), _facts(spark, sf_dir), ["available_date", "report_end"], "record_id", F.col("available_date"), F.col("filed_date"), F.col("ticker"), differing_only
-    ).drop("entity")
-    return by_ticker.unionByName(by_cik)
+    keys = F.array(F.concat(F.lit("t"), F.col("ticker")), F.concat(F.lit("c"), F.col("cik").cast("string")))
+    events = bars.select("ticker", "ts", F.explode(keys).alias("entity"))
+    return attach_known(events, _records(spark, sf_dir), ["first", "second"], "record_id", F.col("known_from"), F.col("valid_from"), F.xxhash64("ticker", "ts"), differing_only).drop("entity")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
