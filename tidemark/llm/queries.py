@@ -10,6 +10,7 @@ from tidemark.llm.leakage import leaked_items
 from tidemark.llm.lookalike import lookalike_classes, lookalike_pairs, train_unifier, unify_texts
 from tidemark.llm.mixture import draw_mix
 from tidemark.llm.quantiles import group_percentiles, merge_sketches, read_percentiles, sketch_groups
+from tidemark.llm.sql import ORACLE as TEXT_ORACLE
 from tidemark.llm.top_n import top_n
 
 PERCENTILES = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -106,6 +107,7 @@ QUERIES = {
 TICKER = "upper(replace(trim(ticker, ' ' || chr(9) || chr(10) || chr(13)), '.', '-'))"
 
 ORACLE = {
+    **TEXT_ORACLE,
     "p2_found": f"""
 with c as (select run_id, date, t, case when isnan(prediction) then null else prediction + 0.0 end as p from (
   select run_id, date, {TICKER} as t, prediction,
