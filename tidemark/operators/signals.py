@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import require_columns
+from tidemark.functions.common import fresh, require_columns
 from tidemark.functions.exprs import mean_of_present, percentile_rank
 
 TECHNICAL_SIGNALS = ("intermediate_momentum", "short_horizon_reversal", "low_risk", "liquidity_quality")
@@ -44,28 +42,29 @@ def combine_signals(frame: DataFrame, weights: Mapping[str, float], output: str
     return frame.withColumn(output, value).withColumn(f"{output}_rank", percentile_rank(F.col(output), ["date"]))
 
 
-def _residual_from(x0: Column, f0: Column, factor: Column, whole: WindowSpec) -> Column:
-    own, scale = F.sum(f0 * f0).over(whole), F.sum(factor * factor).over(whole)
-    slope = F.when(own > 1e-20 * scale, F.sum(x0 * f0).over(whole) / F.when(own > 0, own)).otherwise(0.0)
-    return x0 - slope * f0
+def projected_residual(frame: DataFrame, x: str, factors: Sequence[str], keys: Sequence[str], sector: str | None, output: str) -> DataFrame:
+    """Add the residual of x on a constant, sector dummies and factors, per key: all are demeaned within sectors, then each factor in turn is projected out of x and of the factors
+    after it.
 
-
-def demeaned_residual(frame: DataFrame, x: str, factor: str, keys: Sequence[str], sector: str | None, output: str) -> DataFrame:
-    """Add the residual of x on a constant, sector dummies and one factor: demean both within sectors, then subtract one slope.
-
-    Equal to the least-squares residual per key, also where the factor is constant within sectors (then nothing is subtracted). ``x``, ``factor`` and
-    ``sector`` must be non-null. Two windows share one shuffle on the keys.
+    Equal to the least-squares residual, also where a factor is constant within sectors or depends on those before it (then nothing more is subtracted). All columns must be
+    non-null. Every step is window sums over the same keys, so there is one shuffle, whatever the number of factors.
     """
-    inner = Window.partitionBy(*keys, sector) if sector else Window.partitionBy(*keys)
-    step = frame.withColumns({"res_x0": F.col(x) - F.avg(x).over(inner), "res_f0": F.col(factor) - F.avg(factor).over(inner)})
-    return step.withColumn(output, _residual_from(F.col("res_x0"), F.col("res_f0"), F.col(factor), Window.partitionBy(*keys))).drop("res_x0", "res_f0")
+    inner, whole = Window.partitionBy(*keys, *([sector] if sector else [])), Window.partitionBy(*keys)
+    names = [fresh(frame.columns, f"res_{i}") for i in range(len(factors) + 1)]
+    size = [fresh(frame.columns, f"res_size_{i}") for i in range(len(factors))]
+    step = frame.withColumns({**{n: F.col(c) - F.avg(c).over(inner) for n, c in zip(names, [*factors, x], strict=True)}, **{n: F.sum(F.col(f) * F.col(f)).over(whole) for n, f in zip(size, factors, strict=True)}})
+    for i in range(len(factors)):
+        f = F.col(names[i])
+        own = F.sum(f * f).over(whole)
+        slope = lambda c, f=f, own=own, i=i: F.when(own > 1e-20 * F.col(size[i]), F.sum(F.col(c) * f).over(whole) / F.when(own > 0, own)).otherwise(0.0)
+        step = step.withColumns({c: F.col(c) - slope(c) * f for c in names[i + 1 :]})
+    return step.withColumn(output, F.col(names[-1])).drop(*names, *size)
 
 
 def neutralize(frame: DataFrame, signal: str, factors: Sequence[str] = ("beta",), sector: str | None = "sector", output: str | None = None) -> DataFrame:
     """Add the signal's residual per date on factors and sectors.
 
-    Rows with a null in the signal, a factor or the sector, and dates with no more complete rows than factors plus one, get null. One factor is pure window
-    arithmetic; several go through least squares on each date's rows, which are as many as there are tickers.
+    Rows with a null in the signal, a factor or the sector, and dates with no more complete rows than factors plus one, get null. All is window arithmetic per date.
     """
     factors = list(factors)
     name = output or f"{signal}_neutral"
@@ -73,18 +72,5 @@ def neutralize(frame: DataFrame, signal: str, factors: Sequence[str] = ("beta",)
     require_columns(frame, ["date", "ticker", *used], "frame")
     complete = frame.select("date", "ticker", *used).na.drop()
     counted = complete.withColumn("res_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("res_n") > len(factors) + 1)
-    if len(factors) == 1:
-        done = demeaned_residual(counted, signal, factors[0], ["date"], sector, name)
-    else:
-
-        def fit(rows: pd.DataFrame) -> pd.DataFrame:
-            parts = [np.ones(len(rows)), *(rows[f].to_numpy(float) for f in factors)]
-            if sector:
-                parts += [(rows[sector] == s).to_numpy(float) for s in sorted(rows[sector].unique())[1:]]
-            design, y = np.column_stack(parts), rows[signal].to_numpy(float)
-            return rows[["date", "ticker"]].assign(**{name: y - design @ np.linalg.lstsq(design, y, rcond=None)[0]})
-
-        kind = dict(frame.dtypes)
-        done = counted.drop("res_n").groupBy("date").applyInPandas(fit, f"date {kind['date']}, ticker string, `{name}` double")
+    done = projected_residual(counted, signal, factors, ["date"], sector, name)
     return frame.join(done.select("date", "ticker", name), ["date", "ticker"], "left")
-

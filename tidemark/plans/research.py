@@ -295,27 +295,38 @@ def factor_series(spark: SparkSession, d: str) -> DataFrame:
 
 def holding_factors(spark: SparkSession, d: str) -> DataFrame:
     """All factors compounded over holding periods."""
-    return rounded(factors.holding_period_factors(factor_series(spark, d), backtest.weekly_dates(clean_panel(spark, d))), 6)
+    return rounded(held_factors(spark, d), 6)
+
+
+def held_factors(spark: SparkSession, d: str) -> DataFrame:
+    """The factors compounded over the weekly holding periods."""
+    return factors.holding_period_factors(factor_series(spark, d), backtest.weekly_dates(clean_panel(spark, d)))
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
-    """Factor attribution of the net returns, of books with sectors as of each date."""
-    held = factors.holding_period_factors(factor_series(spark, d), backtest.weekly_dates(clean_panel(spark, d)))
-    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d)), held)
+    """Attribution of the net returns to all factors."""
+    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d)), held_factors(spark, d))
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
 
+def market_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Attribution to the market alone."""
+    found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d)), held_factors(spark, d), columns=["Mkt-RF"])
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double"))
+
+
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    """Probability after correction for four trials, of books with sectors as of each date."""
+    """Probability after correction for four trials."""
     p = metrics.deflated_sharpe(backtest.run_backtest(reversal_book(spark, d)), "net_return", 4)
-    return spark.createDataFrame([(p,)], "deflated_sharpe_probability double")
+    return rounded(spark.createDataFrame([(p,)], "deflated_sharpe_probability double"), 6)
 
 
 def overfitting(spark: SparkSession, d: str) -> DataFrame:
-    """Overfitting probability over daily returns of four tickers' halves of the panel."""
-    frame = clean_panel(spark, d).withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(5)))
-    daily = features.raw_features(frame).groupBy("date").agg(*[F.avg(F.when(F.col("bucket") == i, F.col("return_1d"))).alias(f"s{i}") for i in range(5)])
-    return diagnostics.overfitting_probability(daily, [f"s{i}" for i in range(5)])
+    """Overfitting probability over the daily mean returns of five groups of tickers, by their first two letters."""
+    letters = F.ascii("ticker") + F.ascii(F.substring("ticker", 2, 1))
+    frame = clean_panel(spark, d).withColumn("bucket", F.pmod(letters, F.lit(5)))
+    daily = features.raw_features(frame).groupBy("date").agg(*[F.round(F.avg(F.when(F.col("bucket") == i, F.col("return_1d"))) + 1e-13, 9).alias(f"s{i}") for i in range(5)])
+    return rounded(diagnostics.overfitting_probability(daily, [f"s{i}" for i in range(5)]))
 
 
 def ridge_one_feature(spark: SparkSession, d: str) -> DataFrame:
@@ -371,7 +382,7 @@ def signal_evaluation(spark: SparkSession, d: str) -> DataFrame:
     raw = features.raw_features(labeled(spark, d, dated=True)).select("date", "ticker", "sector", "beta", "stock_forward_return", "target", *SCORED)
     weekly = checkpointed(raw.join(backtest.weekly_dates(raw), "date", "left_semi"))
     frame = signals.technical_signals(features.cross_section(weekly, list(SCORED)), ranks=False)
-    return backtest.evaluate_signals(frame, SIGNALS, quantile=0.2, max_weight=0.5)
+    return rounded(backtest.evaluate_signals(frame, SIGNALS, quantile=0.2, max_weight=0.5), 6)
 
 
 def json_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -413,7 +424,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         panel_validated, universe_screen, membership_asof, facts_asof, snapshot_change_log, price_coverage, rolling_features, cross_sections, residual_labels, technical_signals, combined_signal, neutral_signal, neutral_two_factors,
         feature_coverage, feature_correlation, feature_ics, daily_ics, prediction_summary, signal_summary, signal_correlation, signal_decay, signal_stability, signal_years, neutral_portfolio, exposures, turnover, flat_backtest, liquidity_backtest,
-        cost_grid, performance, regimes, monthly_equity, rebalance_dates, business_days, prediction_ranks, holding_factors, attribution, deflated_sharpe, overfitting, ridge_one_feature, ridge_rolling, ridge_many, nested_ridge,
+        cost_grid, performance, regimes, monthly_equity, rebalance_dates, business_days, prediction_ranks, holding_factors, attribution, market_attribution, deflated_sharpe, overfitting, ridge_one_feature, ridge_rolling, ridge_many, nested_ridge,
         nested_selections, ablation, boosted_trees, optimized_portfolio, signal_evaluation, json_facts, json_tickers, pipeline,
     )
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from tidemark.operators.features import RAW_FEATURES
 
 TICKER = "upper(replace(trim(ticker, ' ' || chr(9) || chr(10) || chr(13)), '.', '-'))"
@@ -57,6 +60,31 @@ def _cross(source: str, names: tuple[str, ...], extra: str = "") -> str:
     return f"(select *, {clipped} {extra} from (select *, {bounds} from {source}))"
 
 
+_SIG = ("intermediate_momentum", "short_horizon_reversal", "low_risk", "liquidity_quality")
+
+
+def _books(tag: str, source: str, by: str = "") -> dict[str, tuple[tuple[str, ...], str]]:
+    """From predictions to sums per rebalance, per date or per (by, date)."""
+    k = f"{by}, date" if by else "date"
+    each, series = f"partition by {k}", f"partition by {by} order by date" if by else "order by date"
+    own, shown = (f"a.{by} = b.{by} and ", f"d.{by}, ") if by else ("", "")
+    return {
+        f"leg{tag}": ((source,), f"""select * from (select *, case when up <= k then 1.0 when down <= k then -1.0 end as leg from (
+            select *, floor(count(*) over ({each}) * 0.2) as k, row_number() over ({each} order by prediction desc, ticker) as up, row_number() over ({each} order by prediction, ticker) as down
+            from {source} where prediction is not null and sector is not null and beta is not null)) where leg is not null"""),
+        f"dm{tag}": ((f"leg{tag}",), f"select *, leg - avg(leg) over ({each}, sector) as x0, beta - avg(beta) over ({each}, sector) as f0 from leg{tag}"),
+        f"rw{tag}": ((f"dm{tag}",), f"""select *, x0 - case when ff > 1e-20 * bb then xf / nullif(ff, 0) else 0 end * f0 as w from (
+            select *, sum(f0 * f0) over ({each}) as ff, sum(beta * beta) over ({each}) as bb, sum(x0 * f0) over ({each}) as xf from dm{tag})"""),
+        f"bk{tag}": ((f"rw{tag}",), f"""select * from (select *, max(abs(weight)) over ({each}) as widest from (
+            select *, w / nullif(gross, 0) as weight from (select *, sum(abs(w)) over ({each}) as gross from rw{tag}) where gross > 1e-12)) where widest <= 0.5"""),
+        f"td{tag}": ((f"bk{tag}",), f"select b.*, k2 from bk{tag} b join (select {k}, row_number() over ({series}) as k2 from (select distinct {k} from bk{tag} where sf is not null)) using ({k}) where sf is not null"),
+        f"sm{tag}": ((f"td{tag}",), f"""select {shown}d.date, sum(w * r) as gross, coalesce(sum(w * r) filter (where w > 0), 0) as long_leg, coalesce(sum(w * r) filter (where w < 0), 0) as short_leg, coalesce(sum(-w) filter (where w < 0), 0) as short_weight,
+            sum(m / 2) as turnover, sum(case when w is not null then m / 2 * vol * sqrt(m / adv) end) as impact, count(w) as n from (
+              select {f"coalesce(a.{by}, b.{by}) as {by}, " if by else ""}coalesce(a.k2, b.k2 + 1) as k2, a.weight as w, a.sf as r, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) as m, a.volatility_20d as vol, a.dollar_volume_20d as adv
+              from td{tag} a full join td{tag} b on {own}a.k2 = b.k2 + 1 and a.ticker = b.ticker) x join (select distinct {by + ", " if by else ""}k2, date from td{tag}) d using ({by + ", " if by else ""}k2) group by {shown}d.date"""),
+    }
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "px": ((), f"""select ticker, date, open, high, low, close, volume, cik from (
         select {TICKER} as ticker, date, open, high, low, close, volume, cik, row_number() over (partition by {TICKER}, date order by ingested_at desc nulls last) as rn from panel)
@@ -85,19 +113,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"coalesce(avg(return_1d) filter (where r_{f} > 0.5) - avg(return_1d) filter (where r_{f} <= 0.5), 0) as {name}" for name, f in _SPREADS) + ", 0.0001::double as RF from (select *, "
         + ", ".join(f"{_pct(f, 'date')} as r_{f}" for _, f in _SPREADS) + " from ft) group by date"),
     "pr": (("fr", "wk"), "select date, ticker, -return_1d as prediction, sector, beta, sf, target, dollar_volume_20d, volatility_20d from fr where date in (select date from wk)"),
-    "leg": (("pr",), """select * from (select *, case when up <= k then 1.0 when down <= k then -1.0 end as leg from (
-        select *, floor(count(*) over (partition by date) * 0.2) as k, row_number() over (partition by date order by prediction desc, ticker) as up, row_number() over (partition by date order by prediction, ticker) as down
-        from pr where prediction is not null and sector is not null and beta is not null)) where leg is not null"""),
-    "dm": (("leg",), "select *, leg - avg(leg) over (partition by date, sector) as x0, beta - avg(beta) over (partition by date, sector) as f0 from leg"),
-    "rw": (("dm",), """select *, x0 - case when ff > 1e-20 * bb then xf / nullif(ff, 0) else 0 end * f0 as w from (
-        select *, sum(f0 * f0) over (partition by date) as ff, sum(beta * beta) over (partition by date) as bb, sum(x0 * f0) over (partition by date) as xf from dm)"""),
-    "bk": (("rw",), """select * from (select *, max(abs(weight)) over (partition by date) as widest from (
-        select *, w / nullif(gross, 0) as weight from (select *, sum(abs(w)) over (partition by date) as gross from rw) where gross > 1e-12)) where widest <= 0.5"""),
-    "td": (("bk",), "select bk.*, k2 from bk join (select date, row_number() over (order by date) as k2 from (select distinct date from bk where sf is not null)) using (date) where sf is not null"),
-    "sm": (("td",), """select d.date, sum(w * r) as gross, coalesce(sum(w * r) filter (where w > 0), 0) as long_leg, coalesce(sum(w * r) filter (where w < 0), 0) as short_leg, coalesce(sum(-w) filter (where w < 0), 0) as short_weight,
-        sum(m / 2) as turnover, sum(case when w is not null then m / 2 * vol * sqrt(m / adv) end) as impact, count(w) as n from (
-          select coalesce(a.k2, b.k2 + 1) as k2, a.weight as w, a.sf as r, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) as m, a.volatility_20d as vol, a.dollar_volume_20d as adv
-          from td a full join td b on a.k2 = b.k2 + 1 and a.ticker = b.ticker) x join (select distinct k2, date from td) d using (k2) group by d.date"""),
+    **_books("", "pr"),
+    "es": (("sg", "wk"), " union all ".join(f"select '{x}' as signal, date, ticker, {x} as prediction, sector, beta, sf, target, dollar_volume_20d, volatility_20d from sg where {x} is not null and date in (select date from wk)" for x in _SIG)),
+    **_books("_s", "es", "signal"),
     "nt": (("sm",), "select date, gross - turnover * 10 / 10000 as net_return, turnover from sm"),
     "cv": (("nt",), "select *, equity / max(equity) over (order by date) - 1 as drawdown from (select *, product(1 + net_return) over (order by date rows unbounded preceding) as equity from nt)"),
     "dx": (("ft",), "select date, row_number() over (order by date) - 1 as i from (select distinct date from ft)"),
@@ -129,10 +147,37 @@ co as (select fold, any_value(st.m) as m, any_value(mx) as mx, any_value(my) as
 select date, ticker, {_r("my + b * (coalesce(return_5d, m) - mx)")} as prediction, fold::int as fold from ft join dx using (date) join fd on i >= t0 and i < t0 + 20 join co using (fold)"""
 
 
+def _phi(x: str) -> str:
+    """The normal distribution function by its series around 0."""
+    terms = f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({x})) - (lgamma(2 * k + 2.0) - k * ln(2.0) - lgamma(k + 1.0)))))"
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * case when {x} = 0 then 0 else {terms} end)"
+
+
+def _chance(trials: int) -> str:
+    """Probability of a Sharpe ratio beyond the best of so many trials, from n, mean m, deviation s, skewness g and excess kurtosis q of net_return."""
+    normal = NormalDist()
+    best = (1 - 0.5772156649) * normal.inv_cdf(1 - 1 / trials) + 0.5772156649 * normal.inv_cdf(1 - 1 / (trials * math.e))
+    return _phi(f"((m / s - {best!r}) * sqrt(n - 1) / sqrt(1 - g * m / s + q / 4 * (m / s) * (m / s)))")
+
+
+_MOMENTS = "count(net_return) as n, avg(net_return) as m, stddev_samp(net_return) as s, skewness(net_return) as g, kurtosis(net_return) as q"
+_NESTED = f"""
+fits as (select fold, 'inner' as kind, hi - 30 as upto from fd union all select fold, 'outer', hi from fd),
+tr as (select fold, kind, return_5d as x1, volatility_20d as x2, target as y from ft join dx using (date) join fits on i < upto where target is not null),
+md as (select fold, kind, median(x1) as m1, median(x2) as m2 from tr group by all),
+im as (select fold, kind, m1, m2, coalesce(x1, m1) as x1, coalesce(x2, m2) as x2, y from tr join md using (fold, kind)),
+st as (select fold, kind, any_value(m1) as m1, any_value(m2) as m2, avg(x1) as a1, avg(x2) as a2, stddev_pop(x1) as s1, stddev_pop(x2) as s2, avg(y) as my, count(*) as n from im group by all),
+gr as (select fold, kind, sum((x1 - a1) / s1 * (x2 - a2) / s2) as r, sum((x1 - a1) / s1 * (y - my)) as c1, sum((x2 - a2) / s2 * (y - my)) as c2 from im join st using (fold, kind) group by all),
+co as (select fold, kind, name, st.m1, st.m2, a1, a2, my, ((n + alpha) * c1 - r * c2) / ((n + alpha) * (n + alpha) - r * r) / s1 as b1, ((n + alpha) * c2 - r * c1) / ((n + alpha) * (n + alpha) - r * r) / s2 as b2
+       from st join gr using (fold, kind), (values ('light', 1.0), ('heavy', 1e5)) c(name, alpha)),
+va as (select fold, name, date, my + b1 * (coalesce(return_5d, m1) - a1) + b2 * (coalesce(volatility_20d, m2) - a2) as x, target as y from ft join dx using (date) join fd on i >= hi - 25 and i < hi join co using (fold) where kind = 'inner'),
+sc as (select fold, name, case when bool_or(rank_ic is null) then null else avg(rank_ic) end as score from {_ic("va", "x", "y", "fold", "name", "date")} where n >= 5 group by fold, name),
+ch as (select fd.fold, case when l.fold is null then '-infinity'::double else l.score end as light, case when h.fold is null then '-infinity'::double else h.score end as heavy, case when h.score > l.score then 'heavy' else 'light' end as name from fd left join sc l on l.fold = fd.fold and l.name = 'light' left join sc h on h.fold = fd.fold and h.name = 'heavy')
+"""
+
 _PERF = """select product(1 + net_return) as last, stddev_samp(net_return) * sqrt(52) as vol, min(drawdown) as dd, count(*) as n from cv"""
 _FIGURES = ("assets", "equity", "net_income", "operating_cash_flow", "revenue", "shares_outstanding")
 _LONG = lambda names, source, keep: " union all ".join(f"select '{n}' as signal, {n} as x, {keep} from {source}" for n in names)
-_SIG = ("intermediate_momentum", "short_horizon_reversal", "low_risk", "liquidity_quality")
 _SNAP = f"""sn as (select as_of, t as ticker, gics_sector, cik from (
    select s.as_of, {TICKER} as t, array_to_string(list_transform(string_split(lower(trim(gics_sector)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as gics_sector, cik,
           row_number() over (partition by s.as_of, {TICKER} order by array_to_string(list_transform(string_split(lower(trim(gics_sector)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') desc nulls last, cik desc nulls last) as rn
@@ -182,6 +227,37 @@ select ticker, first_membership_date, membership_add_events, coalesce(price_obse
 g0 as (select *, x - avg(x) over (partition by date, sector) as x0, beta - avg(beta) over (partition by date, sector) as f0 from g where n > 2),
 g1 as (select date, ticker, x0 - case when ff > 1e-20 * bb then xf / nullif(ff, 0) else 0 end * f0 as r from (select *, sum(f0 * f0) over (partition by date) as ff, sum(beta * beta) over (partition by date) as bb, sum(x0 * f0) over (partition by date) as xf from g0))
 select date, ticker, {_r("r")} as signal_neutral from fr left join g1 using (date, ticker)""", "fr"),
+    "neutral_two_factors": _with(f""", g as (select date, ticker, -return_1d as x, beta, volatility_20d as vol, sector, count(*) over (partition by date) as n from fr where return_1d is not null and beta is not null and volatility_20d is not null and sector is not null),
+g0 as (select *, x - avg(x) over v as x0, beta - avg(beta) over v as f0, vol - avg(vol) over v as h0 from g where n > 3 window v as (partition by date, sector)),
+g1 as (select *, x0 - case when ff > 1e-20 * bb then xf / nullif(ff, 0) else 0 end * f0 as x1, h0 - case when ff > 1e-20 * bb then hf / nullif(ff, 0) else 0 end * f0 as h1 from (
+  select *, sum(f0 * f0) over w as ff, sum(beta * beta) over w as bb, sum(x0 * f0) over w as xf, sum(h0 * f0) over w as hf, sum(vol * vol) over w as vv from g0 window w as (partition by date))),
+g2 as (select date, ticker, x1 - case when hh > 1e-20 * vv then xh / nullif(hh, 0) else 0 end * h1 as r from (select *, sum(h1 * h1) over w as hh, sum(x1 * h1) over w as xh from g1 window w as (partition by date)))
+select date, ticker, {_r("r")} as signal_neutral from fr left join g2 using (date, ticker)""", "fr"),
+    "market_attribution": _with(f""", a as (select date, product(1 + "Mkt-RF") over w - 1 as x, product(1 + RF) over w - 1 as rf, count(*) over w as n from fs window w as (order by date rows between 1 following and 5 following)),
+j as (select net_return - rf as y, x from nt join a using (date) where n = 5), l as (select regr_intercept(y, x) as a, regr_slope(y, x) as b, count(*) as n from j),
+e as (select stddev_samp(y - l.a - l.b * x) as s from j, l)
+select * from (select 'observations' as metric, n::double as value from l union all select 'alpha_per_period', {_r("a")} from l union all select 'residual_volatility', {_r("s")} from e union all select 'beta_Mkt-RF', {_r("b")} from l)""", "fs", "nt"),
+    "deflated_sharpe": _with(f"select {_r(_chance(4), 6)} as deflated_sharpe_probability from (select {_MOMENTS} from nt)", "nt"),
+    "overfitting": _with(f""", g as (select date, {", ".join(f"round(avg(return_1d) filter (where (ascii(ticker) + ascii(ticker[2])) % 5 = {i}) + 1e-13, 9) as s{i}" for i in range(5))} from ft group by date),
+o as (select *, row_number() over (order by date) - 1 as i, count(*) over () as n from g where {" and ".join(f"s{i} is not null" for i in range(5))}),
+b as (select *, case when i < (n % 8) * (n // 8 + 1) then i // (n // 8 + 1) else n % 8 + (i - (n % 8) * (n // 8 + 1)) // (n // 8) end as b from o),
+l as ({" union all ".join(f"select {i} as place, b, sum(s{i}) as s, count(*) as n from b group by b" for i in range(5))}),
+c as (select m from (select unnest(range(0, 256)) as m) where bit_count(m::int) = 4),
+x as (select m, place, sum(s) filter (where (m >> b) & 1 = 1) / sum(n) filter (where (m >> b) & 1 = 1) as a, sum(s) filter (where (m >> b) & 1 = 0) / sum(n) filter (where (m >> b) & 1 = 0) as z from c, l group by m, place),
+r as (select *, row_number() over (partition by m order by a desc, place) as best, rank() over (partition by m order by z) + (count(*) over (partition by m, z) - 1) / 2.0 as rk from x)
+select {_r("avg((rk / 5 <= 0.5)::int::double)")} as pbo from r where best = 1""", "ft"),
+    "nested_ridge": _with("," + _NESTED + f"""select date, ticker, {_r("target")} as target, {_r("my + b1 * (coalesce(return_5d, m1) - a1) + b2 * (coalesce(volatility_20d, m2) - a2)")} as prediction, fd.fold::int as fold, name as selected_candidate
+from ft join dx using (date) join fd on i >= t0 and i < t0 + 20 join ch using (fold) join co using (fold, name) where kind = 'outer'""", "fd", "ft"),
+    "nested_selections": _with("," + _NESTED + f"""select fold::int as fold, min(date) as test_start, max(date) as test_end, any_value(name) as selected_candidate, {_r("any_value(light)")} as inner_rank_ic_light, {_r("any_value(heavy)")} as inner_rank_ic_heavy
+from ch join fd using (fold) join dx on i >= t0 and i < t0 + 20 group by fold""", "fd", "ft"),
+    "signal_evaluation": _with(f""", nt_s as (select signal, date, gross - turnover * 10 / 10000 as net_return, turnover from sm_s),
+cv_s as (select *, equity / max(equity) over (partition by signal order by date) - 1 as drawdown from (select *, product(1 + net_return) over (partition by signal order by date rows unbounded preceding) as equity from nt_s)),
+pf as (select signal, avg(turnover) as mean_turnover, product(1 + net_return) as last, stddev_samp(net_return) * sqrt(52) as vol, min(drawdown) as dd, count(*) as n from cv_s group by signal),
+mo as (select signal, {_r(_chance(4), 6)} as chance from (select signal, {_MOMENTS} from nt_s group by signal)),
+ic as (select signal, avg(pearson_ic) as p, avg(rank_ic) as r, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) as ir, avg(directional_accuracy) as d, sum(n)::bigint as o from {_ic("es", "prediction", "target", "signal", "date")} where n >= 5 group by signal)
+select signal, 'evaluated' as status, chance as deflated_sharpe_probability, {_r("mean_turnover", 6)} as mean_turnover, {_r("pow(last, 52.0 / pf.n) - 1", 6)} as annualized_return, {_r("vol", 6)} as annualized_volatility,
+  {_r("(pow(last, 52.0 / pf.n) - 1) / nullif(vol, 0)", 6)} as sharpe, {_r("dd", 6)} as maximum_drawdown, pf.n as periods, {_r("p", 6)} as mean_pearson_ic, {_r("r", 6)} as mean_rank_ic, {_r("ir", 6)} as rank_ic_ir, {_r("d", 6)} as directional_accuracy, o as observations
+from pf join mo using (signal) join ic using (signal)""", "sm_s", "es"),
     "feature_coverage": _with(" union all ".join(f"select '{f}' as feature, {_r(f'avg(({f} is not null)::int::double)')} as coverage, count(*) filter (where {f} is null) as missing_count from ft" for f in RAW_FEATURES), "ft"),
     "feature_correlation": _with(" union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, {_r(_corr(a, b))} as correlation from ft where {a} is not null and {b} is not null"
         for a in RAW_FEATURES for b in RAW_FEATURES), "ft"),
