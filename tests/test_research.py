@@ -274,6 +274,8 @@ def test_projection_portfolio_is_neutral(spark):
     assert sorted(column(portfolio.pick_legs(tied, "prediction", 0.2, ["date"], ["sector", "beta"]).filter("leg = 1"), "ticker", "ticker")) == ["t00", "t01"]
     with pytest.raises(ValueError):
         portfolio.projection_portfolio(predictions(spark), quantile=0.7)
+    with pytest.raises(ValueError):
+        portfolio.projection_portfolio(predictions(spark), max_weight=0)
 
 
 @pytest.mark.parametrize("options", [{}, {"turnover_penalty": 0.5, "max_turnover": 1.2}])
@@ -284,7 +286,30 @@ def test_optimizer_keeps_its_constraints(spark, options):
     for _, day in out.groupby("date"):
         assert abs(day.weight.abs().sum() - 1) < 1e-6 and day.weight.abs().max() < 0.2 + 1e-6 and day.max_abs_constraint_residual.max() < 1e-6
     none = portfolio.optimized_portfolios(predictions(spark, 3), quantile=0.2).collect()
-    assert [r["status"] for r in none] == ["insufficient_names"] and none[0]["ticker"] is None
+    assert [r["status"] for r in none] == ["too_few_names"] and none[0]["ticker"] is None
+
+
+def test_optimizer_reports_what_it_did():
+    rng = np.random.default_rng(2)
+    n, cap = 30, 0.1
+    a = np.vstack([np.ones(n), rng.uniform(0.5, 1.5, n)])
+    scores, legs = np.sort(rng.normal(size=n))[::-1], np.repeat([1.0, -1.0], n // 2)
+    w, status = portfolio.solve_book(scores, [legs, legs], a, np.zeros(n), cap, 1.0, 0.05, 0.0, None)
+    assert status == "solved" and np.abs(a @ w).max() < 1e-8 and abs(np.abs(w).sum() - 1) < 1e-8 and np.abs(w).max() <= cap + 1e-12
+    # no feasible neighbour within the signs is better
+    signs, basis = np.sign(np.where(w == 0, legs, w)), np.linalg.svd(np.vstack([a, np.sign(np.where(w == 0, legs, w))]))[2][3:]
+    value = lambda x: 0.05 * x @ x - scores @ x
+    for _ in range(300):
+        x = w + 0.02 * rng.normal(size=len(basis)) @ basis
+        x = w + (x - w) * rng.uniform()
+        if np.abs(x).max() <= cap and (x * signs >= 0).all():
+            assert value(x) >= value(w) - 1e-7
+    assert portfolio.solve_book(scores, [legs], a, np.zeros(n), 0.01, 1.0, 0.05, 0.0, None)[1] == "infeasible"
+    sides = np.ones(n)  # all long can't be neutral: the relaxed program's signs can
+    turned, status = portfolio.solve_book(scores, [sides], a, np.zeros(n), cap, 1.0, 0.05, 0.0, None)
+    assert status == "solved" and (turned < 0).any() and np.abs(a @ turned).max() < 1e-8
+    held, status = portfolio.solve_book(-scores, [-legs], a, w, cap, 1.0, 0.05, 0.0, 0.6)
+    assert status == "solved" and np.abs(held - w).sum() / 2 <= 0.6 + 1e-9
 
 
 def weights(spark, *books):
@@ -402,7 +427,9 @@ def factor_zip():
     return buffer.getvalue()
 
 
-def test_factors(spark):
+def test_factors(spark, tmp_path):
+    (tmp_path / "f.zip").write_bytes(factor_zip())
+    assert factors.read_factor_zip(spark, str(tmp_path / "f.zip")).count() == 2
     parsed = factors.read_factor_zip(spark, factor_zip()).collect()
     assert len(parsed) == 2 and parsed[0]["Mkt-RF"] == 0.01 and parsed[1]["HML"] is None and parsed[0]["date"] == d("2024-01-02")
     days = weekdays(8)

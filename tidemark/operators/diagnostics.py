@@ -70,7 +70,7 @@ def grouped_stability(frame: DataFrame, signals: Sequence[str], group: str, targ
 def overfitting_probability(returns: DataFrame, strategies: Sequence[str], order: str = "date", partitions: int = 8) -> DataFrame:
     """One row (pbo): the part of all half-and-half splits of the blocks whose in-sample winner is at or below the median out of sample.
 
-    Rows with any null are dropped; the rest is cut into ``partitions`` contiguous blocks, the first ones a row longer. The rows are reduced to sums per (block,
+    Rows with any null are dropped; fewer rows than ``partitions`` raise when the plan runs. The rest is cut into ``partitions`` contiguous blocks, the first ones a row longer. The rows are reduced to sums per (block,
     strategy) before they meet the splits, of which there are at most 12,870.
     """
     require_columns(returns, [order, *strategies], "returns")
@@ -79,6 +79,8 @@ def overfitting_probability(returns: DataFrame, strategies: Sequence[str], order
     if partitions < 2 or partitions % 2 or partitions > 16:
         raise ValueError("partitions must be even, from 2 to 16")
     clean = returns.select(order, *strategies).na.drop()
+    enough = F.when(F.count(F.lit(1)).over(Window.partitionBy()) < partitions, F.raise_error(F.lit("fewer complete periods than partitions")).cast("boolean")).otherwise(True)
+    clean = clean.withColumn("enough", enough).filter("enough").drop("enough")
     numbered = clean.withColumns({"i": F.row_number().over(Window.orderBy(order)) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})
     small, longer = F.floor(F.col("n") / partitions), F.col("n") % partitions
     edge = longer * (small + 1)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Sequence
-from datetime import datetime
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,32 +18,28 @@ from tidemark.operators.panel import refuse_duplicates
 FACTORS = ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF")
 
 
-def read_factor_zip(spark: SparkSession, content: bytes) -> DataFrame:
-    """The daily factors of a zipped CSV with a preamble and a footer, percent as decimals. One small file, so it is parsed on the driver."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        member = min((n for n in archive.namelist() if n.lower().endswith(".csv")), key=archive.namelist().index)
-        lines = archive.read(member).decode("latin-1").splitlines()
-    head = next(i for i, line in enumerate(lines) if all(c in line for c in FACTORS[:3]))
-    names = [c.strip() for c in lines[head].split(",")]
-    rows = []
-    for line in lines[head + 1 :]:
-        if not line.strip():
-            break
-        cells = dict(zip(names[1:], (c.strip() for c in line.split(",")[1:]), strict=False))
-        try:
-            day = datetime.strptime(line.split(",")[0].strip(), "%Y%m%d").date()
-        except ValueError:
-            continue
-        rows.append((day, *(_number(cells.get(c)) for c in FACTORS)))
-    schema = "date date, " + ", ".join(f"`{c}` double" for c in FACTORS)
-    return spark.createDataFrame(sorted(rows, key=lambda r: r[0]), schema)
+def read_factor_zip(spark: SparkSession, source: bytes | str) -> DataFrame:
+    """(date, factors...) from a zipped CSV of daily factors in percent, as decimals; ``source`` is its bytes or its path on any file system.
 
+    Rows that begin with an eight-digit date are data, whatever stands before, between and after them; the row that names all factors tells their columns. Cells that are no number are null.
+    """
+    archives = spark.createDataFrame([(source,)], "content binary") if isinstance(source, bytes) else spark.read.format("binaryFile").load(source).select("content")
+
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(blob)) as archive:
+                    for entry in archive.infolist():
+                        if entry.filename.lower().endswith(".csv"):
+                            yield pa.RecordBatch.from_pydict({"line": archive.read(entry).decode("latin-1").splitlines()})
 
-def _number(cell: str | None) -> float | None:
-    try:
-        return float(cell) / 100 if cell else None
-    except ValueError:
-        return None
+    cells = archives.mapInArrow(unzip, "line string").select(F.transform(F.split("line", ","), F.trim).alias("cell"))
+    header = cells.filter(F.array_size(F.array_intersect("cell", F.lit(list(FACTORS)))) == len(FACTORS)).first()
+    if header is None:
+        raise ValueError("no row names the factors")
+    value = lambda c: F.expr(f"try_cast(get(cell, {header['cell'].index(c)}) as double)") / 100
+    days = cells.filter(F.col("cell")[0].rlike("^[0-9]{8}$")).select(F.expr("try_to_date(cell[0], 'yyyyMMdd')").alias("date"), *[value(c).alias(c) for c in FACTORS])
+    return days.filter("date is not null").orderBy("date")
 
 
 def holding_period_factors(factors: DataFrame, signal_dates: DataFrame, columns: Sequence[str] = FACTORS, horizon: int = 5, delay: int = 1, check: bool = True) -> DataFrame:

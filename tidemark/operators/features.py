@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import require_columns
-from tidemark.functions.exprs import by_entity, change, clip, middle, percentile_rank, pivot, ratio, rolling, unpivot
+from tidemark.functions.exprs import by_entity, change, clip, correlation, middle, percentile_rank, pivot, ratio, rolling, unpivot
 from tidemark.operators.metrics import daily_ic
 
 RAW_FEATURES = (
@@ -86,7 +86,8 @@ def pooled_correlation(frame: DataFrame, features: Sequence[str]) -> DataFrame:
     require_columns(frame, features, "frame")
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     clean = frame.select(*[F.when(~F.isnan(f), F.col(f)).cast("double").alias(f) for f in features])
-    found = clean.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    there = lambda x, y: F.when(F.col(y).isNotNull(), F.col(x))
+    found = clean.agg(*[correlation(there(a, b), there(b, a)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     entry = lambda a, b, i: F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("correlation"))
     entries = [entry(*sides, i) for i, (a, b) in enumerate(pairs) for sides in ([(a, b)] if a == b else [(a, b), (b, a)])]
     return found.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
