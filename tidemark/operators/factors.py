@@ -33,7 +33,7 @@ def read_factor_zip(spark: SparkSession, source: bytes | str) -> DataFrame:
                         if entry.filename.lower().endswith(".csv"):
                             yield pa.RecordBatch.from_pydict({"line": archive.read(entry).decode("latin-1").splitlines()})
 
-    cells = archives.mapInArrow(unzip, "line string").select(F.transform(F.split("line", ","), F.trim).alias("cell"))
+    cells = archives.mapInArrow(unzip, "line string").select(F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("cell"))
     header = cells.filter(F.array_size(F.array_intersect("cell", F.lit(list(FACTORS)))) == len(FACTORS)).first()
     if header is None:
         raise ValueError("no row names the factors")
