@@ -59,12 +59,20 @@ def attach_membership(panel: DataFrame, history: DataFrame, effective: str = "ef
     )
 
 
-def align_facts(panel: DataFrame, facts: DataFrame, features: Sequence[str], entity: str = "cik", salts: int = 1) -> DataFrame:
+def align_facts(panel: DataFrame, facts: DataFrame, features: Sequence[str], entity: str | None = None, salts: int = 1) -> DataFrame:
     """Attach, as one column per feature, the facts of the latest ``available_date`` on or before each row's date.
 
     Facts of one (entity, available_date) form a record; of several values of a feature the last non-null one by (report_end, filed_date) counts. A
-    feature that the latest record lacks is null even if an older record has it. Rows without an entity or history keep nulls.
+    feature that the latest record lacks is null even if an older record has it. Rows without an entity or history keep nulls. ``entity`` defaults to what both sides have: the company
+    number, else the ticker (upper case); ``ValueError`` without either.
     """
+    if entity is None:
+        shared = [c for c in ("cik", "ticker") if c in panel.columns and c in facts.columns]
+        if not shared:
+            raise ValueError("panel and facts share neither cik nor ticker")
+        entity = shared[0]
+    if entity == "ticker":
+        panel, facts = panel.withColumn("ticker", F.upper("ticker")), facts.withColumn("ticker", F.upper("ticker"))
     require_columns(panel, ["date", entity], "panel")
     require_columns(facts, [entity, "feature", "value", "available_date"], "facts")
     order = [c for c in ("report_end", "filed_date") if c in facts.columns]

@@ -123,10 +123,12 @@ def cost_sensitivity(
     return means.join(performance(costed, "net_return", keys), keys, "left").withColumns({"cost_model": F.lit(cost_model), "cost_assumption_type": F.lit(kind)})
 
 
-def evaluate_signals(frame: DataFrame, signals: Sequence[str], target: str = "target", value: str = "stock_forward_return", cost_bps: float = 10.0, quantile: float = 0.1, max_weight: float = 0.05, cost_model: str = "flat") -> DataFrame:
+def evaluate_signals(
+    frame: DataFrame, signals: Sequence[str], target: str = "target", value: str = "stock_forward_return", cost_bps: float = 10.0, quantile: float = 0.1, max_weight: float = 0.05, cost_model: str = "flat", **costs: float
+) -> DataFrame:
     """One row per signal: its book on weekly dates backtested under the same rules, with its correlations and deflated Sharpe probability.
 
-    All signals go through one plan, the signal being part of every key. ``cost_model`` is that of the backtest; ``liquidity`` needs dollar_volume_20d and volatility_20d. ``status`` is ``no_feasible_portfolios`` where no date has a book.
+    All signals go through one plan, the signal being part of every key. ``cost_model`` and ``costs`` are those of the backtest; ``liquidity`` needs dollar_volume_20d and volatility_20d. ``status`` is ``no_feasible_portfolios`` where no date has a book.
     """
     context = ["date", "ticker", "sector", "beta", value, target, *(["dollar_volume_20d", "volatility_20d"] if cost_model == "liquidity" else [])]
     require_columns(frame, [*context, *signals], "frame")
@@ -136,7 +138,7 @@ def evaluate_signals(frame: DataFrame, signals: Sequence[str], target: str = "ta
     entries = [F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("prediction")) for s in signals]
     long = weekly.select(*context, F.explode(F.array(*entries)).alias("e")).select("*", "e.*").drop("e").filter("prediction is not null")
     books = projection_portfolio(long, "prediction", quantile, "sector", "beta", max_weight, ["signal", "date"])
-    tests = checkpointed(run_backtest(books, None, value, ["signal"], cost_model=cost_model, cost_bps=cost_bps))
+    tests = checkpointed(run_backtest(books, None, value, ["signal"], cost_model=cost_model, cost_bps=cost_bps, **costs))
     perf = tests.groupBy("signal").agg(F.avg("turnover").alias("mean_turnover")).join(performance(tests, "net_return", ["signal"]), "signal")
     chances = {s: math.nan for s in signals} | {r["signal"]: sharpe_probability(*r[1:], len(signals)) for r in return_moments(tests, "net_return", ["signal"]).collect()}
     dsr = spark.createDataFrame([(s, None if math.isnan(p) else p) for s, p in chances.items()], "signal string, deflated_sharpe_probability double")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from html import escape
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,30 +26,37 @@ def percent(x: float | None, digits: int = 2) -> str:
     return "n/a" if x is None or x != x else f"{100 * x:.{digits}f}%"
 
 
-def scale(values: Sequence[float], low: float, high: float) -> list[float]:
-    """Map values linearly onto [low, high]; equal values go to the middle."""
-    least, most = min(values), max(values)
-    return [(low + high) / 2 if most == least else low + (v - least) / (most - least) * (high - low) for v in values]
+def round_ticks(low: float, high: float, about: int = 4) -> list[float]:
+    """Multiples of 1, 2 or 5 times a power of ten within [low, high], about as many as asked."""
+    raw = (high - low) / about
+    unit = 10.0 ** math.floor(math.log10(raw))
+    step = next(m * unit for m in (1, 2, 5, 10) if m * unit >= raw * (1 - 1e-9))
+    return [k * step for k in range(math.ceil(low / step - 1e-9), math.floor(high / step + 1e-9) + 1)]
 
 
-def line_chart(title: str, labels: Sequence[str], lines: Mapping[str, Sequence[float]]) -> str:
-    """An SVG of lines over common labels."""
-    every = [v for line in lines.values() for v in line]
+def place(values: Sequence[float], span: tuple[float, float], edges: tuple[float, float]) -> list[float]:
+    """Positions of values between the edges, ``span`` being what the edges stand for; an empty span is widened, so its value is in the middle."""
+    low, high = span if span[1] > span[0] else (span[0] - 0.5, span[0] + 0.5)
+    return [float(x) for x in edges[0] + (np.asarray(values, float) - low) * ((edges[1] - edges[0]) / (high - low))]
+
+
+def line_chart(title: str, labels: Sequence[str], lines: Mapping[str, Sequence[float | None]]) -> str:
+    """An SVG of lines over common labels; a missing value breaks no line. Each line carries its name for pages that show and hide it."""
+    every = [v for line in lines.values() for v in line if v is not None]
     body = [f'<text x="{WIDTH / 2}" y="20" text-anchor="middle" fill="{INK}">{escape(title)}</text>']
     if every and labels:
-        xs = scale(range(len(labels)), MARGIN, WIDTH - MARGIN) if len(labels) > 1 else [WIDTH / 2]
-        for part in range(5):
-            value = min(every) + (max(every) - min(every)) * part / 4
-            y = HEIGHT - MARGIN - (HEIGHT - 2 * MARGIN) * part / 4
-            body.append(f'<line x1="{MARGIN}" x2="{WIDTH - MARGIN}" y1="{y:.1f}" y2="{y:.1f}" stroke="{GRID}"/><text x="{MARGIN - 4}" y="{y:.1f}" text-anchor="end" font-size="10" fill="{INK}">{value:.3g}</text>')
-        at = 0
-        ys = scale(every, HEIGHT - MARGIN, MARGIN)
+        span = (min(every), max(every))
+        across, down = (MARGIN, WIDTH - MARGIN), (HEIGHT - MARGIN, MARGIN)
+        ticks = round_ticks(*span) if span[1] > span[0] else [span[0]]
+        for tick, y in zip(ticks, place(ticks, span, down), strict=True):
+            body.append(f'<path d="M{across[0]} {y:.1f}H{across[1]}" stroke="{GRID}"/><text x="{across[0] - 4}" y="{y:.1f}" text-anchor="end" font-size="10" fill="{INK}">{tick:.4g}</text>')
+        xs = place(range(len(labels)), (0, len(labels) - 1), across)
         for k, (name, line) in enumerate(lines.items()):
-            points = " ".join(f"{x:.1f},{y:.1f}" for x, y in zip(xs, ys[at : at + len(line)], strict=True))
+            shown = [(x, v) for x, v in zip(xs, line, strict=True) if v is not None]
+            points = " ".join(f"{x:.1f},{y:.1f}" for (x, _), y in zip(shown, place([v for _, v in shown], span, down), strict=True))
             colour = COLOURS[k % len(COLOURS)]
-            body.append(f'<polyline fill="none" stroke="{colour}" stroke-width="1.5" points="{points}"/><text x="{WIDTH - MARGIN}" y="{36 + 14 * k}" text-anchor="end" font-size="11" fill="{colour}">{escape(name)}</text>')
-            at += len(line)
-        for i in sorted({0, len(labels) - 1}):
+            body.append(f'<g data-line="{escape(name, True)}"><polyline fill="none" stroke="{colour}" stroke-width="1.5" points="{points}"/><text x="{across[1]}" y="{36 + 14 * k}" text-anchor="end" font-size="11" fill="{colour}">{escape(name)}</text></g>')
+        for i in dict.fromkeys((0, len(labels) - 1)):
             body.append(f'<text x="{xs[i]:.1f}" y="{HEIGHT - MARGIN + 16}" text-anchor="middle" font-size="10" fill="{INK}">{escape(labels[i])}</text>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {WIDTH} {HEIGHT}" font-family="sans-serif">{"".join(body)}</svg>'
 
@@ -105,3 +114,30 @@ def write_report(folder: str, backtest: DataFrame, daily_ic: DataFrame, summary:
     (target / "report.html").write_text(f"<!doctype html><meta charset='utf-8'><title>Run</title><table>{rows}</table>{''.join(charts.values())}", encoding="utf-8")
     return [*charts, "report.md", "report.html"]
 
+
+Run = tuple[DataFrame, DataFrame, Mapping[str, float | None]]
+# Shows a run's lines and table column only while its box is ticked.
+TOGGLE = "document.querySelectorAll('input[data-run]').forEach(b=>b.addEventListener('change',()=>document.querySelectorAll('[data-line=\"'+b.dataset.run+'\"]').forEach(e=>{e.style.display=b.checked?'':'none'})))"
+
+
+def write_comparison(folder: str, runs: Mapping[str, Run]) -> list[str]:
+    """Several runs, each (backtest, daily_ic, summary), over common dates: charts (SVG), ``comparison.md`` and an interactive ``comparison.html``; the files' names."""
+    target = Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    curves = {name: {str(r["date"]): r["equity"] for r in held(equity_curve(tested, "net_return").select("date", "equity"), "date")} for name, (tested, _, _) in runs.items()}
+    ics = {name: {str(r["date"]): r["rank_ic"] for r in held(rolling_ic(daily), "date")} for name, (_, daily, _) in runs.items()}
+    charts = {}
+    for file, title, series in (("equity.svg", "Net equity", curves), ("rank_ic.svg", "Rolling rank correlation", ics)):
+        dates = sorted({d for one in series.values() for d in one})
+        charts[file] = line_chart(title, dates, {name: [one.get(d) for d in dates] for name, one in series.items()})
+        (target / file).write_text(charts[file], encoding="utf-8")
+    metrics = list(dict.fromkeys(k for _, _, summary in runs.values() for k in summary))
+    cell = lambda summary, k: "n/a" if summary.get(k) is None else f"{float(summary[k]):.4g}"
+    head = ["metric", *runs]
+    rows = [[k, *(cell(summary, k) for _, _, summary in runs.values())] for k in metrics]
+    table = "\n".join("| " + " | ".join(r) + " |" for r in [head, ["---"] * len(head), *rows])
+    (target / "comparison.md").write_text("# Runs\n\n" + table + "\n\n" + "\n".join(f"![{n}]({n})" for n in charts) + "\n", encoding="utf-8")
+    boxes = "".join(f'<label><input type="checkbox" checked data-run="{escape(n, True)}"> {escape(n)}</label> ' for n in runs)
+    lines = "".join("<tr>" + "".join(f"<td{'' if i == 0 else f' data-line={chr(34)}{escape(head[i], True)}{chr(34)}'}>{escape(c)}</td>" for i, c in enumerate(r)) + "</tr>" for r in [head, *rows])
+    (target / "comparison.html").write_text(f"<!doctype html><meta charset='utf-8'><title>Runs</title>{boxes}<table>{lines}</table>{''.join(charts.values())}<script>{TOGGLE}</script>", encoding="utf-8")
+    return [*charts, "comparison.md", "comparison.html"]

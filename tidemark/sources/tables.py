@@ -43,6 +43,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def key_slice(keys: Iterable[str], offset: int = 0, limit: int | None = None) -> list[str]:
+    """``limit`` of the distinct keys in order, from ``offset`` on; all that follow without a limit."""
+    if offset < 0 or (limit is not None and limit < 0):
+        raise ValueError("offset and limit must not be negative")
+    listed = sorted(set(keys))[offset:]
+    return listed if limit is None else listed[:limit]
+
+
 def ingest_batches(spark: SparkSession, keys: Sequence[str], size: int, load: Callable[[Sequence[str]], DataFrame], folder: str) -> DataFrame:
     """Load keys in batches of ``size``, one Parquet folder per batch, and skip batches that are finished; then all together.
 
