@@ -543,3 +543,28 @@ def test_repeated_dates_and_returns_are_refused(spark):
         backtest.run_backtest(book, returns.unionByName(returns.limit(1)))
     with pytest.raises(Exception, match="weights have duplicate"):
         backtest.run_backtest(book.unionByName(book.limit(1)), returns)
+
+
+def test_table_digests_and_key_slices(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 3.0), (2, None, 3.0)], "k int, t string, x double")
+    same = provenance.table_digest(df.select("x", "t", "k").repartition(3, "k"))
+    assert provenance.table_digest(df) == same and same["rows"] == 3
+    others = [df.distinct(), df.withColumn("x", F.coalesce("x", F.lit(0.0))), df.select(F.col("t").alias("u"), "k", "x"), df.limit(0)]
+    assert len({provenance.table_digest(o)["sha256"] for o in others} | {same["sha256"]}) == 5
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    assert provenance.manifest({}, {"t": f"{tmp_path}/t.parquet"}, ".", spark)["inputs"]["t"]["sha256"] == same["sha256"]
+    assert tables.key_slice(["c", "a", "b", "a"], 1) == ["b", "c"] and tables.key_slice("abc", 0, 2) == ["a", "b"] and tables.key_slice("abc", 5, 2) == []
+    with pytest.raises(ValueError):
+        tables.key_slice("abc", -1)
+
+
+def test_daily_activity_closes_windows(spark, tmp_path):
+    schema = "date date, ticker string, open double, high double, low double, close double, volume bigint, ingested_at timestamp"
+    bar = lambda n, t, at: (d("2024-01-02"), t, 1.0, 1.0, 1.0, 1.0, n, at)
+    for k, batch in enumerate([[bar(5, "a", dt.datetime(2024, 1, 2, 9)), bar(7, "b.c", dt.datetime(2024, 1, 2, 23))], [bar(1, "a", dt.datetime(2024, 1, 3, 1)), bar(2, "a", dt.datetime(2024, 1, 9, 1))], [bar(9, "late", dt.datetime(2024, 1, 2, 5))]]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        activity = daily.daily_activity(daily.read_bars(spark, f"{tmp_path}/in", schema), "ingested_at")
+        query = activity.writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(d("2024-01-02"), 2, 12), (d("2024-01-03"), 1, 1)]  # the last day is still open, the late bar is left out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable, Sequence
 
@@ -76,7 +78,7 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only a local master without one gets a temporary folder."""
+    """Use the session's ``spark.checkpoint.dir``; only a local master without one gets a temporary folder, removed at exit."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -85,6 +87,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 

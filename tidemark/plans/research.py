@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.common import canonical_ticker, checkpointed, finite, latest_rows, not_nan, table
 from tidemark.functions.exprs import add_business_days, percentile_rank
 from tidemark.operators import asof, backtest, diagnostics, factors, features, fundamentals, labels, metrics, models, panel, portfolio, signals
+from tidemark.plans import report
 
 PRICES = ("open", "high", "low", "close")
 FIGURES = ("assets", "equity", "net_income", "operating_cash_flow", "revenue", "shares_outstanding")
@@ -138,6 +139,14 @@ def cross_sections(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.cross_section(raw, names, "sector").drop("sector", *names), 6)
 
 
+def eligible_cross_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-sections over all names, of which only the eligible ones are kept afterwards."""
+    names = ["return_5d", "volatility_20d"]
+    screened = panel.lagged_screen(clean_panel(spark, d), 20.0, 5_000_000.0, 20)
+    made = features.cross_section(features.raw_features(screened), names).filter("eligible")
+    return rounded(made.select("date", "ticker", *[f"{n}_{kind}" for n in names for kind in ("rank", "zscore")]), 6)
+
+
 def residual_labels(spark: SparkSession, d: str) -> DataFrame:
     """Beta and forward residual returns."""
     return rounded(labeled(spark, d).select("date", "ticker", "stock_forward_return", "benchmark_forward_return", "beta", "target"), 6)
@@ -192,6 +201,11 @@ def prediction_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.prediction_metrics(reversal_predictions(spark, d))[1])
 
 
+def rolling_ics(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of the reversal averaged over the last 13 weeks."""
+    return rounded(report.rolling_ic(metrics.prediction_metrics(reversal_predictions(spark, d))[0]))
+
+
 def signal_summary(spark: SparkSession, d: str) -> DataFrame:
     """Coverage and rank correlation of each signal."""
     return rounded(diagnostics.signal_summary(signal_frame(spark, d), SIGNALS))
@@ -422,8 +436,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        panel_validated, universe_screen, membership_asof, facts_asof, snapshot_change_log, price_coverage, rolling_features, cross_sections, residual_labels, technical_signals, combined_signal, neutral_signal, neutral_two_factors,
-        feature_coverage, feature_correlation, feature_ics, daily_ics, prediction_summary, signal_summary, signal_correlation, signal_decay, signal_stability, signal_years, neutral_portfolio, exposures, turnover, flat_backtest, liquidity_backtest,
+        panel_validated, universe_screen, membership_asof, facts_asof, snapshot_change_log, price_coverage, rolling_features, cross_sections, eligible_cross_sections, residual_labels, technical_signals, combined_signal, neutral_signal, neutral_two_factors,
+        feature_coverage, feature_correlation, feature_ics, daily_ics, prediction_summary, rolling_ics, signal_summary, signal_correlation, signal_decay, signal_stability, signal_years, neutral_portfolio, exposures, turnover, flat_backtest, liquidity_backtest,
         cost_grid, performance, regimes, monthly_equity, rebalance_dates, business_days, prediction_ranks, holding_factors, attribution, market_attribution, deflated_sharpe, overfitting, ridge_one_feature, ridge_rolling, ridge_many, nested_ridge,
         nested_selections, ablation, boosted_trees, optimized_portfolio, signal_evaluation, json_facts, json_tickers, pipeline,
     )

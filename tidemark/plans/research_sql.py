@@ -220,6 +220,10 @@ select ticker, first_membership_date, membership_add_events, coalesce(price_obse
     "cross_sections": _with("select date, ticker, " + ", ".join(
         f"{_r(_pct('c_' + f, 'date'), 6)} as {f}_rank, {_r(_z(f), 6)} as {f}_zscore, {_r('case when sector is not null then ' + _pct('c_' + f, 'date', 'sector') + ' end', 6)} as {f}_sector_rank"
         for f in RAW_FEATURES) + f" from {_cross('fr', RAW_FEATURES)}", "fr"),
+    "eligible_cross_sections": _with(f""", el as (select *, coalesce(lag(close) over {W} >= 20 and {_roll("median", "dv", 20, last=-1)} >= 5000000, false) as eligible from ft)
+select date, ticker, {", ".join(f"{f}_rank, {f}_zscore" for f in ("return_5d", "volatility_20d"))} from (select date, ticker, eligible, """ + ", ".join(f"{_r(_pct('c_' + f, 'date'), 6)} as {f}_rank, {_r(_z(f), 6)} as {f}_zscore" for f in ("return_5d", "volatility_20d"))
+        + f" from {_cross('el', ('return_5d', 'volatility_20d'))}) where eligible", "ft"),
+    "rolling_ics": _with(f"select date, {_r('case when count(rank_ic) over w >= 4 then avg(rank_ic) over w end')} as rank_ic from {_ic('pr', 'prediction', 'target', 'date')} where n >= 5 window w as (order by date rows between 12 preceding and current row)", "pr"),
     "residual_labels": _with(f"select date, ticker, {_r('sf', 6)} as stock_forward_return, {_r('bf', 6)} as benchmark_forward_return, {_r('beta', 6)} as beta, {_r('target', 6)} as target from lab", "lab"),
     "technical_signals": _with("select date, ticker, " + ", ".join(f"{_r(s, 6)} as {s}, {_r(_pct(s, 'date'), 6)} as {s}_rank" for s in _SIG) + " from sg", "sg"),
     "combined_signal": _with(f"select date, ticker, {_r('c', 6)} as combined_signal, {_r(_pct('c', 'date'), 6)} as combined_signal_rank from (select *, (0.0 + short_horizon_reversal * 2.0 + low_risk * -1.0) / 3.0 as c from sg)", "sg"),
