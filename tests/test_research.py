@@ -568,3 +568,21 @@ def test_daily_activity_closes_windows(spark, tmp_path):
         query.awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(d("2024-01-02"), 2, 12), (d("2024-01-03"), 1, 1)]  # the last day is still open, the late bar is left out
+
+
+def test_trees_are_candidates_and_ablated(spark):
+    df = model_frame(spark, 30, 8)
+    few = {"max_iter": 2, "feature_subset": "all"}
+    out, chosen = models.nested_walk_forward(df, ["f0", "f1"], {"ridge": 1.0, "trees": ("gbt", few), "named": ("ridge", {"alpha": 1.0})}, train=16, test=7, embargo=0, inner=6)
+    picks = {r["fold"]: r["selected_candidate"] for r in chosen.collect()}
+    rows = out.collect()
+    assert len(rows) == 8 * 14 and {r["fold"]: r["selected_candidate"] for r in rows} == picks and set(picks.values()) <= {"ridge", "trees"}
+    assert all(r["inner_rank_ic_ridge"] == r["inner_rank_ic_named"] for r in chosen.collect())
+    only, _ = models.nested_walk_forward(df, ["f0", "f1"], {"trees": ("gbt", few)}, train=16, test=7, embargo=0, inner=6)
+    plain = models.walk_forward(df, ["f0", "f1"], model="gbt", train=16, test=7, embargo=0, parameters=few)
+    key = lambda r: (r["date"], r["ticker"])
+    assert {key(r): r["prediction"] for r in only.collect()} == {key(r): r["prediction"] for r in plain.collect()}
+    dropped = models.ablation(df, {"a": ["f0"], "b": ["f1"]}, train=16, test=7, embargo=0, expanding=False, model="gbt", parameters=few)
+    assert {r["experiment"]: r["count"] for r in dropped.groupBy("experiment").count().collect()} == {"full": 112, "without_a": 112, "without_b": 112}
+    with pytest.raises(ValueError):
+        models.nested_walk_forward(df, ["f0"], {"x": ("forest", {})}, train=16, test=7, embargo=0, inner=6)

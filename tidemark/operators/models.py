@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -235,12 +236,52 @@ def _walk_forward_trees(frame: DataFrame, features: list[str], target: str, date
     return out
 
 
-def nested_walk_forward(frame: DataFrame, features: Sequence[str], candidates: Mapping[str, float], target: str = "target", train: int = 504, test: int = 21, embargo: int = 5, inner: int = 63) -> tuple[DataFrame, DataFrame]:
-    """(predictions, selections): before each outer fold the ridge penalty is chosen on the tail of its own training dates.
+Candidate = float | tuple[str, Mapping[str, float]]
 
-    ``candidates`` maps a name to a penalty. The inner validation begins ``inner`` dates before the end of training (not before ``inner + embargo`` dates) and is separated
-    from its fit by the embargo. The candidate with the highest mean daily rank correlation wins, the first on ties. Every fit is a difference of the same
-    prefix sums; the validation of all folds and candidates is one plan.
+
+def _chosen_model(candidate: Candidate) -> tuple[str, dict[str, float]]:
+    model, options = ("ridge", {"alpha": candidate}) if isinstance(candidate, int | float) else (candidate[0], dict(candidate[1]))
+    if model not in ("ridge", "gbt"):
+        raise ValueError("the model is 'ridge' or 'gbt'")
+    return model, options
+
+
+def _predictions(frame: DataFrame, features: list[str], target: str, dates: list, fits: Sequence[tuple[Span, Candidate, tuple]], keys: str, use: Sequence[int] | None = None) -> DataFrame:
+    """(date, ticker, target, prediction, keys...) of many fits, each a span, a candidate and its values for ``keys``; ridge fits are one plan, of shared Gram matrices."""
+    spark = frame.sparkSession
+    names = [k.split()[0] for k in keys.split(", ")]
+    out = spark.createDataFrame([], f"date date, ticker string, `{target}` double, prediction double, {keys}")
+    linear = [(s, _chosen_model(c)[1], k) for s, c, k in fits if _chosen_model(c)[0] == "ridge"]
+    trees: dict[tuple, list[tuple[Span, tuple]]] = {}
+    for s, c, k in fits:
+        if _chosen_model(c)[0] == "gbt":
+            trees.setdefault(tuple(sorted(_chosen_model(c)[1].items())), []).append((s, k))
+    if linear:
+        grams = Grams(frame, features, target, dates)
+        linear = [f for f in linear if grams.rows(f[0].fit_from, f[0].fit_to)]
+        medians = window_medians(frame, features, target, dates, [(s.fit_from, s.fit_to) for s, _, _ in linear])
+        models = []
+        for s, options, k in linear:
+            mid = medians[s.fit_from, s.fit_to]
+            bias, w = grams.ridge(s.fit_from, s.fit_to, mid, options.get("alpha", 10.0), use)
+            models += [(dates[i], *k, bias, w, mid) for i in range(s.from_, s.to)]
+        if models:
+            out = score_rows(frame, features, models, keys, ["date", "ticker", target])
+    for options, own in trees.items():
+        used = features if use is None else [features[i] for i in use]
+        numbered = [Span(n, s.fit_from, s.fit_to, s.from_, s.to) for n, (s, _) in enumerate(own)]
+        which = spark.createDataFrame([(n, *k) for n, (_, k) in enumerate(own)], f"fold_ int, {keys}")
+        made = _walk_forward_trees(frame, used, target, dates, numbered, dict(options), f"date date, ticker string, `{target}` double, prediction double, fold int")
+        out = out.unionByName(made.withColumnRenamed("fold", "fold_").join(which, "fold_").select("date", "ticker", target, "prediction", *names))
+    return out
+
+
+def nested_walk_forward(frame: DataFrame, features: Sequence[str], candidates: Mapping[str, Candidate], target: str = "target", train: int = 504, test: int = 21, embargo: int = 5, inner: int = 63) -> tuple[DataFrame, DataFrame]:
+    """(predictions, selections): before each outer fold the candidate is chosen on the tail of its own training dates.
+
+    ``candidates`` maps a name to a ridge penalty or to (model, parameters) as in ``walk_forward``. The inner validation begins ``inner`` dates before the end of training (not before
+    ``inner + embargo`` dates) and is separated from its fit by the embargo. The candidate with the highest mean daily rank correlation wins, the first on ties. Every ridge fit is a
+    difference of the same prefix sums; the validation of all folds and candidates is one plan.
     """
     if not candidates:
         raise ValueError("give at least one candidate")
@@ -249,51 +290,51 @@ def nested_walk_forward(frame: DataFrame, features: Sequence[str], candidates: M
     features = list(features)
     require_columns(frame, ["date", "ticker", target, *features], "frame")
     spark, dates = frame.sparkSession, date_axis(frame)
-    outer = folds(len(dates), train, test, embargo)
+    outer, names = folds(len(dates), train, test, embargo), list(candidates)
     blocks: list[tuple[int, Span]] = []
     for s in outer:
         at = max(inner + embargo, s.fit_to - inner)
         while at < s.fit_to:
             blocks.append((s.fold, Span(0, 0, at - embargo, at, min(at + inner, s.fit_to))))
             at += inner
-    grams = Grams(frame, features, target, dates)
-    windows = [(0, b.fit_to) for _, b in blocks] + [(0, s.fit_to) for s in outer]
-    medians = window_medians(frame, features, target, dates, windows)
-    names, models = list(candidates), []
-    for fold, b in blocks:
-        if grams.rows(0, b.fit_to):
-            for c, name in enumerate(names):
-                bias, w = grams.ridge(0, b.fit_to, medians[0, b.fit_to], candidates[name])
-                models += [(dates[i], fold, c, bias, w, medians[0, b.fit_to]) for i in range(b.from_, b.to)]
-    scores: dict[tuple[int, int], float] = {}
-    if models:
-        validated = score_rows(frame, features, models, "fold int, candidate int", ["date", "ticker", target])
-        scores = {(r["fold"], r["candidate"]): r["score"] for r in strict_mean_rank_ic(validated, ["fold", "candidate"], "prediction", target).collect()}
+    trials = [(b, candidates[name], (fold, c)) for fold, b in blocks for c, name in enumerate(names)]
+    validated = _predictions(frame, features, target, dates, trials, "fold int, candidate int")
+    scores = {(r["fold"], r["candidate"]): r["score"] for r in strict_mean_rank_ic(validated, ["fold", "candidate"], "prediction", target).collect()}
     final, chosen = [], []
     for s in outer:
         own = [scores.get((s.fold, c), -math.inf) for c in range(len(names))]
         best = 0
         for c in range(1, len(names)):
             best = c if own[c] > own[best] else best
-        bias, w = grams.ridge(0, s.fit_to, medians[0, s.fit_to], candidates[names[best]])
-        final += [(dates[i], s.fold, names[best], bias, w, medians[0, s.fit_to]) for i in range(s.from_, s.to)]
+        final.append((s, candidates[names[best]], (s.fold, names[best])))
         chosen.append((s.fold, dates[s.from_], dates[s.to - 1], names[best], *own))
     inner_columns = ", ".join(f"`inner_rank_ic_{n}` double" for n in names)
     selections = spark.createDataFrame(chosen, f"fold int, test_start date, test_end date, selected_candidate string, {inner_columns}")
-    if not final:
-        return spark.createDataFrame([], f"date date, ticker string, {target} double, prediction double, fold int, selected_candidate string"), selections
-    return score_rows(frame, features, final, "fold int, selected_candidate string", ["date", "ticker", target]), selections
+    return _predictions(frame, features, target, dates, final, "fold int, selected_candidate string"), selections
 
 
-def ablation(frame: DataFrame, groups: Mapping[str, Sequence[str]], target: str = "target", train: int = 504, test: int = 21, embargo: int = 5, alpha: float = 10.0) -> DataFrame:
-    """Walk-forward ridge with all features (experiment ``full``) and without each group (``without_<group>``), from one set of Gram matrices."""
+def ablation(
+    frame: DataFrame, groups: Mapping[str, Sequence[str]], target: str = "target", train: int = 504, test: int = 21, embargo: int = 5, alpha: float = 10.0, expanding: bool = True, model: str = "ridge", parameters: Mapping[str, float] | None = None
+) -> DataFrame:
+    """Walk-forward with all features (experiment ``full``) and without each group (``without_<group>``); ``model``, ``parameters`` and ``expanding`` as in ``walk_forward``, ``alpha`` being
+    the ridge penalty."""
     features = [f for g in groups.values() for f in g]
     require_columns(frame, ["date", "ticker", target, *features], "frame")
     dates = date_axis(frame)
+    spans = folds(len(dates), train, test, embargo, expanding)
+    candidate: Candidate = alpha if model == "ridge" and not parameters else (model, dict(parameters or {}))
+    sets = {"full": list(range(len(features))), **{f"without_{g}": [i for i, f in enumerate(features) if f not in fs] for g, fs in groups.items()}}
+    if model == "ridge":
+        return _ridge_subsets(frame, features, target, dates, spans, _chosen_model(candidate)[1].get("alpha", 10.0), sets)
+    made = [_predictions(frame, features, target, dates, [(s, candidate, (s.fold, name)) for s in spans], "fold int, experiment string", use) for name, use in sets.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
+def _ridge_subsets(frame: DataFrame, features: list[str], target: str, dates: list, spans: list[Span], alpha: float, sets: Mapping[str, list[int]]) -> DataFrame:
+    """Every span and feature subset from one set of Gram matrices, as one plan."""
     grams = Grams(frame, features, target, dates)
-    spans = [s for s in folds(len(dates), train, test, embargo) if grams.rows(s.fit_from, s.fit_to)]
+    spans = [s for s in spans if grams.rows(s.fit_from, s.fit_to)]
     medians = window_medians(frame, features, target, dates, [(s.fit_from, s.fit_to) for s in spans])
-    sets = {"full": list(range(len(features))), **{f"without_{g}": [i for i, f in enumerate(features) if f not in fs] for g, fs in groups.items()}}
     models = []
     for name, use in sets.items():
         for s in spans:
