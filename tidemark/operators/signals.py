@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def projected_residual(frame: DataFrame, x: str, factors: Sequence[str], keys: S
     after it.
 
     Equal to the least-squares residual, also where a factor is constant within sectors or depends on those before it (then nothing more is subtracted). All columns must be
-    non-null. Every step is window sums over the same keys, so there is one shuffle, whatever the number of factors.
+    non-null in keys whose residual is used. Every step is window sums over the same keys, so there is one shuffle, whatever the number of factors.
     """
     inner, whole = Window.partitionBy(*keys, *([sector] if sector else [])), Window.partitionBy(*keys)
     names = [fresh(frame.columns, f"res_{i}") for i in range(len(factors) + 1)]
@@ -64,13 +65,15 @@ def projected_residual(frame: DataFrame, x: str, factors: Sequence[str], keys: S
 def neutralize(frame: DataFrame, signal: str, factors: Sequence[str] = ("beta",), sector: str | None = "sector", output: str | None = None) -> DataFrame:
     """Add the signal's residual per date on factors and sectors.
 
-    Rows with a null in the signal, a factor or the sector, and dates with no more complete rows than factors plus one, get null. All is window arithmetic per date.
+    Rows with a null in the signal, a factor or the sector, and dates with no more complete rows than factors plus one, get null. All is window arithmetic over complete and other rows of a date apart, in one pass.
     """
     factors = list(factors)
     name = output or f"{signal}_neutral"
     used = list(dict.fromkeys([signal, *factors, *([sector] if sector else [])]))
     require_columns(frame, ["date", "ticker", *used], "frame")
-    complete = frame.select("date", "ticker", *used).na.drop()
-    counted = complete.withColumn("res_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("res_n") > len(factors) + 1)
-    done = projected_residual(counted, signal, factors, ["date"], sector, name)
-    return frame.join(done.select("date", "ticker", name), ["date", "ticker"], "left")
+    kinds, whole, size = dict(frame.dtypes), fresh(frame.columns, "res_complete"), fresh(frame.columns, "res_n")
+    there = reduce(lambda x, y: x & y, [F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)) for c in used])
+    marked = frame.withColumn(whole, there).withColumn(size, F.count(F.lit(1)).over(Window.partitionBy("date", whole)))
+    residual = fresh(frame.columns, "res_out")
+    done = projected_residual(marked, signal, factors, ["date", whole], sector, residual)
+    return done.withColumn(name, F.when(F.col(whole) & (F.col(size) > len(factors) + 1), F.col(residual))).drop(whole, size, residual)
