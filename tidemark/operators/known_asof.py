@@ -70,7 +70,7 @@ def change_days(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return days, filled.filter("state is not null").select("entity", "version", "feature", "state.known", "state.plain")
 
 
-def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], record_id: str, known_from: Column, valid_from: Column, spread: Column, differing_only: bool = False, salts: int = 16) -> DataFrame:
+def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], record_id: str, known_from: Column, valid_from: Column, spread: Column, differing_only: bool = False, salts: int = 8) -> DataFrame:
     """Join each event with the record that was valid and already known at its time, per feature.
 
     ``events``: ``entity``, ``ts`` (date) and columns to keep. ``records``: ``entity``, ``feature`` and the columns of
@@ -97,7 +97,7 @@ def attach_known(events: DataFrame, records: DataFrame, order: Sequence[str], re
     else:
         days = days.withColumn("flag", F.lit(True))
     carried = [c for c in events.columns if c not in ("entity", "ts")]
-    row = F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.lit(True)
     timed = events.filter("entity is not null and ts is not null").select("entity", "ts", F.pmod(F.xxhash64(spread), F.lit(salts)).alias("salt"), row.alias("row"))
     numbered = number_events(timed, days.select("entity", "ts", "flag"), salts).filter("version > 0 and flag").drop("flag")
     joined = numbered.join(wide.withColumn("salt", every_salt(salts)), ["entity", "version", "salt"])
