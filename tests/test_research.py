@@ -534,6 +534,8 @@ def test_repeated_dates_and_returns_are_refused(spark):
     bars = spark.createDataFrame([(day, "A", 1.0, 1.0 + k) for k, day in enumerate(days)], "date date, ticker string, open double, close double")
     market = bars.select("date", "open", "close")
     assert labels.residual_return_target(bars, market, 2, 2).count() == 10
+    void = spark.createDataFrame([(None, 1.0, 1.0)] * 2, "date date, open double, close double")
+    assert labels.residual_return_target(bars, market.unionByName(void), 2, 2).count() == 10
     with pytest.raises(Exception, match="duplicate dates"):
         labels.residual_return_target(bars, market.unionByName(market.limit(1)), 2, 2).collect()
     book = spark.createDataFrame([(days[0], "A", 0.5), (days[0], "B", -0.5)], "date date, ticker string, weight double")

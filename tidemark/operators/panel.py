@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,11 @@ def refuse_duplicates(df: DataFrame, keys: list[str], message: str) -> None:
 
 
 def only_rows(df: DataFrame, keys: list[str], message: str) -> DataFrame:
-    """The same rows; a key that stands on more than one raises ``message`` when the plan runs. No job of its own: the count is a window on the keys."""
+    """The same rows; a key that stands on more than one raises ``message`` when the plan runs. No job of its own: the count is a window on the keys. Keys with a null part match nothing
+    and may repeat."""
     n = fresh(df.columns, "rows_of_key")
-    counted = df.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    whole = F.when(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]), 1)
+    counted = df.withColumn(n, F.count(whole).over(Window.partitionBy(*keys)))
     return counted.filter(F.when(F.col(n) > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)).drop(n)
 
 
