@@ -588,3 +588,15 @@ def test_trees_are_candidates_and_ablated(spark):
     assert {r["experiment"]: r["count"] for r in dropped.groupBy("experiment").count().collect()} == {"full": 112, "without_a": 112, "without_b": 112}
     with pytest.raises(ValueError):
         models.nested_walk_forward(df, ["f0"], {"x": ("forest", {})}, train=16, test=7, embargo=0, inner=6)
+
+
+def test_zscores_without_ranks_are_the_same(spark):
+    rng = np.random.default_rng(4)
+    data = [(day, f"t{i}", None if rng.random() < 0.1 else float("nan") if rng.random() < 0.1 else float(rng.normal()), 1.0, int(rng.integers(0, 9))) for day in [*weekdays(3), None] for i in range(40)]
+    df = spark.createDataFrame(data, "date date, ticker string, a double, b double, cs_x_0 int")
+    both = features.cross_section(df, ["a", "b", "cs_x_0"]), features.cross_section(df, ["a", "b", "cs_x_0"], ranks=False)
+    assert both[1].columns == [*df.columns, "a_zscore", "b_zscore", "cs_x_0_zscore"]
+    got = [{(r["date"], r["ticker"]): (r["a_zscore"], r["b_zscore"], r["cs_x_0_zscore"]) for r in df.collect() if r["date"] is not None} for df in both]
+    assert got[0].keys() == got[1].keys() and all(x == y or abs(x - y) < 1e-12 for k in got[0] for x, y in zip(got[0][k], got[1][k], strict=True) if x is not None or y is not None)
+    assert both[1].filter("date is null and (a_zscore is not null or cs_x_0_zscore is not null)").count() == 0 and both[1].count() == 160
+    assert features.cross_section(df.limit(0), ["a"], ranks=False).count() == 0

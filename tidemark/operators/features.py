@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import require_columns
+from tidemark.functions.common import fresh, require_columns
 from tidemark.functions.exprs import by_entity, change, clip, correlation, middle, percentile_rank, pivot, ratio, rolling, unpivot
 from tidemark.operators.metrics import daily_ic
 
@@ -43,8 +43,20 @@ def raw_features(panel: DataFrame) -> DataFrame:
     ).drop("true_range")
 
 
-def cross_section(frame: DataFrame, features: Sequence[str], sector: str | None = None, winsor: float = 0.01) -> DataFrame:
-    """Add ``f_rank``, ``f_zscore`` and, with ``sector``, ``f_sector_rank`` for each feature, per date.
+def zscores(frame: DataFrame, features: Sequence[str], winsor: float = 0.01) -> DataFrame:
+    """Add ``f_zscore`` for each feature, as ``cross_section`` does. Without ranks nothing needs an order, so all features stay in one row: one shuffle on the date and unordered windows."""
+    whole = Window.partitionBy("date")
+    x, bound, c, mean, spread = ([fresh(frame.columns, f"{part}_{i}") for i in range(len(features))] for part in ("cs_x", "cs_bound", "cs_clipped", "cs_mean", "cs_spread"))
+    step = frame.withColumns({a: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for a, f in zip(x, features, strict=True)})
+    step = step.withColumns({b: F.percentile(a, F.array(F.lit(winsor), F.lit(1 - winsor))).over(whole) for a, b in zip(x, bound, strict=True)})
+    step = step.withColumns({k: clip(F.col(a), F.col(b)[0], F.col(b)[1]) for k, a, b in zip(c, x, bound, strict=True)}).drop(*x, *bound)
+    step = step.withColumns({**{m: F.avg(k).over(whole) for m, k in zip(mean, c, strict=True)}, **{s: F.stddev_samp(k).over(whole) for s, k in zip(spread, c, strict=True)}})
+    made = {f"{f}_zscore": F.when(F.col("date").isNotNull() & (F.col(s) > 0), (F.col(k) - F.col(m)) / F.when(F.col(s) > 0, F.col(s))) for f, k, m, s in zip(features, c, mean, spread, strict=True)}
+    return step.withColumns(made).drop(*c, *mean, *spread)
+
+
+def cross_section(frame: DataFrame, features: Sequence[str], sector: str | None = None, winsor: float = 0.01, ranks: bool = True) -> DataFrame:
+    """Add ``f_rank``, ``f_zscore`` and, with ``sector``, ``f_sector_rank`` for each feature, per date; without ``ranks`` only ``f_zscore``.
 
     Values are clipped to the date's [winsor, 1 - winsor] percentiles (linear interpolation), then ranked (average ties, part of the non-null count) and
     standardised (sample deviation; null where it is 0). Nulls stay null; rows of a null sector have no sector rank. The frame has one row per (date, ticker). In long
@@ -53,6 +65,8 @@ def cross_section(frame: DataFrame, features: Sequence[str], sector: str | None
     require_columns(frame, ["date", "ticker", *features, *([sector] if sector else [])], "frame")
     if not 0 <= winsor < 0.5:
         raise ValueError("winsor must be in [0, 0.5)")
+    if not ranks:
+        return zscores(frame, features, winsor)
     keys = ["date", "ticker", *([sector] if sector else [])]
     long = unpivot(frame, keys, features, "feature", "x").filter("x is not null and not isnan(x)")
     whole = Window.partitionBy("date", "feature")

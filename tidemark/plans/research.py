@@ -49,8 +49,8 @@ def labeled(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
 
 
 def research_frame(spark: SparkSession, d: str, names: tuple[str, ...] = SCORED, dated: bool = False) -> DataFrame:
-    """Labels, features, cross-sections of ``names``; with ``dated`` sectors as of each date."""
-    return features.cross_section(features.raw_features(labeled(spark, d, dated)), list(names))
+    """Labels, features, standardised values of ``names``; with ``dated`` sectors as of each date."""
+    return features.cross_section(features.raw_features(labeled(spark, d, dated)), list(names), ranks=False)
 
 
 def signal_frame(spark: SparkSession, d: str, dated: bool = False) -> DataFrame:
@@ -320,7 +320,7 @@ def held_factors(spark: SparkSession, d: str) -> DataFrame:
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     """Attribution of the net returns to all factors."""
     found = factors.factor_attribution(backtest.run_backtest(reversal_book(spark, d)), held_factors(spark, d))
-    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double"), 6)
 
 
 def market_attribution(spark: SparkSession, d: str) -> DataFrame:
@@ -395,7 +395,7 @@ def signal_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Each signal's own book and backtest, sectors as of each date. Books are weekly and cross-sections within a date, so other dates are left out first."""
     raw = features.raw_features(labeled(spark, d, dated=True)).select("date", "ticker", "sector", "beta", "stock_forward_return", "target", *SCORED)
     weekly = checkpointed(raw.join(backtest.weekly_dates(raw), "date", "left_semi"))
-    frame = signals.technical_signals(features.cross_section(weekly, list(SCORED)), ranks=False)
+    frame = signals.technical_signals(features.cross_section(weekly, list(SCORED), ranks=False), ranks=False)
     return rounded(backtest.evaluate_signals(frame, SIGNALS, quantile=0.2, max_weight=0.5), 6)
 
 

@@ -175,6 +175,25 @@ sc as (select fold, name, case when bool_or(rank_ic is null) then null else avg(
 ch as (select fd.fold, case when l.fold is null then '-infinity'::double else l.score end as light, case when h.fold is null then '-infinity'::double else h.score end as heavy, case when h.score > l.score then 'heavy' else 'light' end as name from fd left join sc l on l.fold = fd.fold and l.name = 'light' left join sc h on h.fold = fd.fold and h.name = 'heavy')
 """
 
+def _regression(names: tuple[str, ...]) -> tuple[str, str]:
+    """(tables, rows): least squares of y on a constant and columns f0, f1, ... of table j, by successive projections and substitution from the last."""
+    k = range(len(names))
+    parts = ["g0 as (select y, y - avg(y) over () as e, " + ", ".join(f"f{i} as o{i}, f{i} - avg(f{i}) over () as p{i}" for i in k) + " from j)"]
+    for i in k:
+        later = [j for j in k if j > i]
+        slopes = ", ".join([f"sum(p{i} * e) over () / sum(p{i} * p{i}) over () as c{i}", *(f"sum(p{i} * p{j}) over () / sum(p{i} * p{i}) over () as r{i}_{j}" for j in later)])
+        parts.append(f"g{i + 1} as (select * replace (e - c{i} * p{i} as e" + "".join(f", p{j} - r{i}_{j} * p{i} as p{j}" for j in later) + f") from (select *, {slopes} from g{i}))")
+    last = len(names)
+    one = ", ".join([*(f"any_value(c{i}) as c{i}" for i in k), *(f"any_value(r{i}_{j}) as r{i}_{j}" for i in k for j in k if j > i), *(f"avg(o{i}) as m{i}" for i in k)])
+    parts.append(f"b{last} as (select count(*) as n, avg(y) as my, stddev_samp(e) as s, {one} from g{last})")
+    for i in reversed(k):
+        parts.append(f"b{i} as (select *, c{i}" + "".join(f" - r{i}_{j} * b_{j}" for j in k if j > i) + f" as b_{i} from b{i + 1})")
+    alpha = "my" + "".join(f" - b_{i} * m{i}" for i in k)
+    values = {"observations": "n::double", "alpha_per_period": _r(alpha, 6), "residual_volatility": _r("s", 6), **{f"beta_{x}": _r(f"b_{i}", 6) for i, x in enumerate(names)}}
+    return ", ".join(parts), " union all ".join(f"select '{m}' as metric, {v} as value from b0" for m, v in values.items())
+
+
+_LINES = _regression(_FACTORS[:-1])
 _PERF = """select product(1 + net_return) as last, stddev_samp(net_return) * sqrt(52) as vol, min(drawdown) as dd, count(*) as n from cv"""
 _FIGURES = ("assets", "equity", "net_income", "operating_cash_flow", "revenue", "shares_outstanding")
 _LONG = lambda names, source, keep: " union all ".join(f"select '{n}' as signal, {n} as x, {keep} from {source}" for n in names)
@@ -237,6 +256,8 @@ g1 as (select *, x0 - case when ff > 1e-20 * bb then xf / nullif(ff, 0) else 0 e
   select *, sum(f0 * f0) over w as ff, sum(beta * beta) over w as bb, sum(x0 * f0) over w as xf, sum(h0 * f0) over w as hf, sum(vol * vol) over w as vv from g0 window w as (partition by date))),
 g2 as (select date, ticker, x1 - case when hh > 1e-20 * vv then xh / nullif(hh, 0) else 0 end * h1 as r from (select *, sum(h1 * h1) over w as hh, sum(x1 * h1) over w as xh from g1 window w as (partition by date)))
 select date, ticker, {_r("r")} as signal_neutral from fr left join g2 using (date, ticker)""", "fr"),
+    "attribution": _with(f""", a as (select date, {", ".join(f'product(1 + "{c}") over w - 1 as "{c}"' for c in _FACTORS)}, count(*) over w as n from fs window w as (order by date rows between 1 following and 5 following)),
+j as (select net_return - RF as y, {", ".join(f'"{c}" as f{i}' for i, c in enumerate(_FACTORS[:-1]))} from nt join a using (date) where n = 5), {_LINES[0]} {_LINES[1]}""", "fs", "nt"),
     "market_attribution": _with(f""", a as (select date, product(1 + "Mkt-RF") over w - 1 as x, product(1 + RF) over w - 1 as rf, count(*) over w as n from fs window w as (order by date rows between 1 following and 5 following)),
 j as (select net_return - rf as y, x from nt join a using (date) where n = 5), l as (select regr_intercept(y, x) as a, regr_slope(y, x) as b, count(*) as n from j),
 e as (select stddev_samp(y - l.a - l.b * x) as s from j, l)
