@@ -22,15 +22,19 @@ def asof_join(left: DataFrame, right: DataFrame, entity: str, left_time: str, ri
     require_columns(left, [entity, left_time], "left")
     require_columns(right, [entity, right_time], "right")
     e, t, side, rec, row, salt = "asof_entity", "asof_time", "asof_side", "asof_record", "asof_row", "asof_salt"
-    spread = F.pmod(F.xxhash64(left_time), F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     records = right.select(F.col(entity).alias(e), F.col(right_time).cast("date").alias(t), F.lit(0).alias(side), F.struct(*right.columns).alias(rec)).filter(f"{e} is not null and {t} is not null")
-    events = left.select(F.col(entity).alias(e), F.col(left_time).cast("date").alias(t), F.lit(1).alias(side), F.struct(*left.columns).alias(row), spread.alias(salt))
-    both = events.unionByName(records.withColumn(salt, every), allowMissingColumns=True)
-    w = Window.partitionBy(e, salt).orderBy(F.col(t).asc_nulls_first(), side, F.col(rec).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    events = left.select(F.col(entity).alias(e), F.col(left_time).cast("date").alias(t), F.lit(1).alias(side), F.struct(*left.columns).alias(row))
+    keys = [e]
+    if salts > 1:
+        keys = [e, salt]
+        events = events.withColumn(salt, F.pmod(F.xxhash64(t), F.lit(salts)))
+        records = records.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    both = events.unionByName(records, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(F.col(t).asc_nulls_first(), side, F.col(rec).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn(output, F.last(rec, ignorenulls=True).over(w)).filter(f"{side} = 1")
     usable = F.when(F.col(e).isNotNull() & F.col(t).isNotNull(), F.col(output))
-    return carried.select(f"{row}.*", usable.alias(output))
+    # The entity is handed on as the window's own key, so what follows by entity needs no other shuffle.
+    return carried.select(*[F.col(e).alias(c) if c == entity else F.col(row)[c].alias(c) for c in left.columns], usable.alias(output))
 
 
 def attach_membership(panel: DataFrame, history: DataFrame, effective: str = "effective_date", available: str = "metadata_available_date", check: bool = True) -> DataFrame:

@@ -27,14 +27,15 @@ def residual_return_target(panel: DataFrame, benchmark: DataFrame, horizon: int
     The forward return opens ``delay`` rows after the signal row and closes ``horizon`` rows later, counting the ticker's own rows (the benchmark's on its own
     calendar). Beta is the population slope over the last ``beta_lookback`` rows, null unless all of them have both returns, and null without benchmark
     variance. The last rows of a ticker have null labels. Dates missing from the benchmark keep null benchmark columns; a benchmark with a repeated date is
-    refused when the plan runs, as each panel row must meet at most one of its rows.
+    refused when the plan runs, as each panel row must meet at most one of its rows. That contract also bounds its size by the calendar (a century is 1.5 MB), so it is
+    broadcast, and the panel keeps its partitioning by ticker.
     """
     require_columns(panel, ["date", "ticker", "open", "close"], "panel")
     require_columns(benchmark, ["date", "open", "close"], "benchmark")
     if horizon < 1 or delay < 1 or beta_lookback < 2:
         raise ValueError("horizon and delay must be positive, beta_lookback at least 2")
     o, c, w = F.col("open"), F.col("close"), by_entity()
-    joined = panel.withColumn("date", F.col("date").cast("date")).join(benchmark_returns(benchmark, horizon, delay), "date", "left")
+    joined = panel.withColumn("date", F.col("date").cast("date")).join(F.broadcast(benchmark_returns(benchmark, horizon, delay)), "date", "left")
     forward = joined.withColumns({"stock_return_1d": change(c), "stock_forward_return": ratio(F.lead(c, delay + horizon - 1).over(w), F.lead(o, delay).over(w)) - 1})
     y, x = F.col("stock_return_1d"), F.col("benchmark_return_1d")
     span = trailing(beta_lookback)
