@@ -20,7 +20,7 @@ class Field:
 
     ``positive``: zero is impossible too (prices), else only negative values are (counts). ``spread``: the scale of departures is the
     source's usual distance from its level (volumes), else its usual change from one reading to the next (prices).
-    ``factor``: how many scales a candidate must lie from the levels before and after it to be confirmed.
+    ``factor``: how many scales a candidate must lie from the level before or after it, and two thirds of that from the other, to be confirmed.
     """
 
     name: str
@@ -162,25 +162,30 @@ def side_level(values: np.ndarray, group: np.ndarray, calm: np.ndarray, at: np.n
 def departures(values: np.ndarray, group: np.ndarray, candidate: np.ndarray, least: np.ndarray, s: Settings) -> np.ndarray:
     """Rows of the forest's candidates' departures that return: the explicit check.
 
-    A departure is the stretch of consecutive rows around a candidate that lie more than ``least`` (per row) from the level of the calm rows before, a calm row being one that
-    is no candidate. It is a spike if it has at most ``back_within`` rows, lies as far from the calm rows after it, and those differ from the ones before by at most half the
-    departure. Without calm rows on both sides there is no former level to return to.
+    A departure is the stretch of consecutive rows around a candidate that lie as far from the level of the calm rows before as half the candidate does, and at least two thirds of
+    ``least`` (per row), a calm row being one that is no candidate. It is a spike if it has at most ``back_within`` rows, the calm rows after it differ from the ones before by at most
+    half the departure, and its rows lie more than ``least`` from one of the two levels and two thirds of that from the other. Without calm rows on both sides there is no former
+    level to return to.
     """
     out, calm = np.zeros(len(values), bool), np.flatnonzero(~candidate)
     at = np.flatnonzero(candidate)
     was = side_level(values, group, calm, at, -1, s)
     for i, level in zip(at.tolist(), was.tolist(), strict=True) if len(at) else ():
-        if out[i] or not abs(values[i] - level) > least[i]:
+        far = abs(values[i] - level)
+        if out[i] or not far > least[i] * 2 / 3:
             continue
         a = b = i
-        while a > 0 and group[a - 1] == group[i] and abs(values[a - 1] - level) > least[i]:
+        edge = max(least[i] * 2 / 3, far / 2)
+        while a > 0 and group[a - 1] == group[i] and abs(values[a - 1] - level) > edge and b - a < s.back_within:
             a -= 1
-        while b + 1 < len(values) and group[b + 1] == group[i] and abs(values[b + 1] - level) > least[i] and b - a < s.back_within:
+        while b + 1 < len(values) and group[b + 1] == group[i] and abs(values[b + 1] - level) > edge and b - a < s.back_within:
             b += 1
+        if b - a >= s.back_within:
+            continue
         after = side_level(values, group, calm, np.array([b]), 1, s)[0]
-        away = np.abs(values[a : b + 1] - level).min()
-        if b - a < s.back_within and abs(after - level) <= away / 2:
-            out[a : b + 1] |= np.abs(values[a : b + 1] - after) > least[i]
+        sides = np.abs(values[a : b + 1] - np.array([[level], [after]]))
+        if abs(after - level) <= sides[0].min() / 2:
+            out[a : b + 1] |= (sides.max(0) > least[i]) & (sides.min(0) > least[i] * 2 / 3)
     return out
 
 
@@ -237,7 +242,7 @@ def implausible_readings(rows: DataFrame, source: str, day: str, fields: Sequenc
     the next, distance from the level after the usual deviation of that day of the cycle, and length of the run of equal readings. Every reading is scored, and the readings whose
     score stands out among their source's own scores are candidates; without the forest there are none. A reading is flagged as ``impossible`` (a price that is zero, negative, NaN or
     infinite, a negative count; score 1), ``flat`` (all but the first of six or more equal readings in a row) or ``spike``: part of a candidate's departure, of at most three rows, that lies
-    more than ``factor`` scales from the calm readings before and after it, which are near each other; a lasting move is none.
+    more than ``factor`` scales from the calm readings before or after it and two thirds of that from the others, which are near each other; a lasting move is none.
 
     Null readings are left out, the next row being the next reading. Null sources or days are left out. Sources with few readings get a forest on what there is; one or
     two readings can only be impossible. Rows are co-partitioned by source and sorted once; a source has at most one row per day, which bounds what a
