@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs
-from tidemark.operators import asof, backtest, diagnostics, factors, features, fundamentals, labels, metrics, models, panel, portfolio, signals
+from tidemark.operators import asof, backtest, diagnostics, factors, features, fundamentals, grids, labels, metrics, models, panel, portfolio, signals
 from tidemark.sources import provenance, tables
 from tidemark.streaming import daily
 
@@ -419,6 +419,57 @@ def test_boosted_trees(spark):
     assert out.count() == 80 and out.filter("prediction is null").count() == 0
 
 
+def test_trees_on_a_grid_match_spark_ml(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for day in weekdays(40):
+        for i in range(25):
+            a, b = float(rng.integers(9)) / 4, float(rng.integers(6)) - 2
+            gap = rng.random()
+            rows.append((day, f"t{i}", None if gap < 0.05 else a, float("nan") if gap > 0.97 else b, None if 0.5 < gap < 0.52 else float(a * b + (a > 1) + rng.normal())))
+    df = spark.createDataFrame(rows, "date date, ticker string, f0 double, f1 double, target double")
+    options = {"max_iter": 12, "max_depth": 3, "step_size": 0.1, "subsample": 1.0, "feature_subset": "all", "seed": 7}
+    dates = models.date_axis(df)
+    for expanding in (True, False):
+        spans = models.folds(len(dates), 15, 10, 2, expanding)
+        schema = "date date, ticker string, target double, prediction double, fold int"
+        want, got = (f(df, ["f0", "f1"], "target", dates, spans, options, schema).toPandas().set_index(["date", "ticker"]) for f in (models._ml_trees, models._grid_trees))
+        assert len(got) == len(want) == 23 * 25 and got.fold.nunique() == 3 and list(got.columns) == list(want.columns)
+        both = got.join(want, rsuffix="_ml")
+        assert (both.fold == both.fold_ml).all() and np.allclose(both.prediction, both.prediction_ml, atol=1e-9) and both.target.isna().sum() == both.target_ml.isna().sum() > 0
+
+
+def test_trees_on_a_grid(spark):
+    df = model_frame(spark, 60, 8)
+    sc = spark.sparkContext
+    sc.setJobGroup("grid trees", "")
+    try:
+        out = models.walk_forward(df, ["f0", "f1"], model="gbt", train=30, test=10, embargo=0).toPandas()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("grid trees")) < 40  # 300 trees in each of three folds, without a job for each
+    assert len(out) == 30 * 8 and out.prediction.notna().all() and out.fold.nunique() == 3
+    again = models.walk_forward(df.repartition(7), ["f0", "f1"], model="gbt", train=30, test=10, embargo=0).toPandas()
+    both = out.merge(again, on=["date", "ticker"])
+    assert np.allclose(both.prediction_x, both.prediction_y)
+    whole = models.walk_forward(df, ["f0", "f1"], model="gbt", train=30, test=10, embargo=0, parameters={"subsample": 1.0}).toPandas().merge(out, on=["date", "ticker"])
+    assert not np.allclose(whole.prediction_x, whole.prediction_y)
+    one = models.walk_forward(df.withColumn("f1", F.lit(None).cast("double")), ["f0", "f1"], model="gbt", train=30, test=10, embargo=0, parameters={"max_iter": 5}).toPandas()
+    alone = models.walk_forward(df, ["f0"], model="gbt", train=30, test=10, embargo=0, parameters={"max_iter": 5}).toPandas().merge(one, on=["date", "ticker"])
+    assert len(alone) == 240 and np.allclose(alone.prediction_x, alone.prediction_y)
+    assert models.walk_forward(df.withColumn("target", F.lit(None).cast("double")), ["f0", "f1"], model="gbt", train=30, test=10).count() == 0
+    for bad in ({"subsample": 0.0}, {"feature_subset": "1.5"}, {"trees": 3}):
+        with pytest.raises(ValueError):
+            models.walk_forward(df, ["f0", "f1"], model="gbt", train=30, test=10, parameters=bad)
+
+
+def test_a_tree_takes_its_share_of_the_rows():
+    trees = grids.GridTrees(2, 300, 3, 0.03, 0.8, "0.8", 7)
+    assert trees.taken == (16, 20) and trees.subset(2) == 2
+    assert [grids.GridTrees(2, 1, 1, 0.1, x, "0.5", 7).taken for x in (1.0, 0.5, 0.33, 0.01)] == [(1, 1), (10, 20), (33, 100), (1, 100)]
+    assert [grids.GridTrees(2, 1, 1, 0.1, 1.0, x, 7).subset(5) for x in ("all", "sqrt", "log2", "onethird", "2", "0.3", "1.0", "1")] == [5, 3, 3, 2, 2, 2, 5, 1]
+
+
 def factor_zip():
     text = "preamble\nmore\n,Mkt-RF,SMB,HML,RMW,CMA,RF\n20240102,1.0,0.5,-0.5,0,0,0.01\n20240103,  2.0,0.5,,0,0,0.01\n\nCopyright\n"
     buffer = io.BytesIO()
