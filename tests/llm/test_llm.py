@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import leakage, lookalike, mixture, quantiles
+from tidemark.llm import leakage, lookalike, mixture, quantiles, queries
 from tidemark.llm.queries import VOCABULARY
 from tidemark.llm.top_n import top_n
 
@@ -159,6 +159,34 @@ def test_ngram_scores_choose_the_path(spark):
     assert latin("мы ace") == latin("мы асе") != plain("мы асе")
 
 
+@pytest.mark.parametrize("query", [queries.p10_found, queries.p10_classes])
+def test_pairs_and_classes_search_by_counted_bigrams(spark, tmp_path, monkeypatch, query):
+    data = [(1, "сорт всех сор " * 200), (2, "the cop sees"), (3, "the сор sees"), (4, None)]
+    spark.createDataFrame(data, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given, keys = [], lookalike.look_keys
+    monkeypatch.setattr(lookalike, "look_keys", lambda df, i, c, unifier: given.append(unifier) or keys(df, i, c, unifier))
+    out = query(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in out] == [(2, 3)] if query is queries.p10_found else len(out) == 2
+    counts = lookalike.train_unifier(spark.createDataFrame(data, "doc_id bigint, text string"), "text").bigrams
+    assert [u.bigrams for u in given] == [counts] and counts and given[0]("the cop sees") == "the сор sees"
+
+
+def test_unified_forms_do_not_hang_on_the_line():
+    scored = lookalike.Unifier({(0, 0x410): 10**6, (0x410, 0x436): 5, (0, 0x4AE): 9, (0x4AE, 0x436): 9})
+    for unify in (lookalike.Unifier(), scored):
+        assert unify("hello A中") == unify("hello А中") and unify("hello 中A") == unify("hello 中А") and unify("hello 中A") != unify("hello 中B")
+        assert unify("Ужас") == unify("Үжас") != unify("ужас") and unify("Ӱж") == unify("Ү\u0308ж") != unify("Уж")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(LETTERS + "УҮӲ中あב", max_size=40), st.text(LETTERS + "УҮӲ中あב", max_size=40), st.integers(0, 10**6), st.dictionaries(st.tuples(st.sampled_from([0, *map(ord, "aceopxACEасеорАСЕУҮ")]), st.sampled_from(list(map(ord, "aceopxACEасеорАСЕУҮ")))), st.integers(1, 10**6)))
+def test_no_bigrams_change_which_texts_look_alike(a, b, seed, bigrams):
+    unify = lookalike.Unifier(bigrams)
+    assert unify(a) == unify(disguise(a, random.Random(seed))) == unify(unify(a))
+    look = lambda t: unicodedata.normalize("NFD", lookalike.strip_compat(t)).translate(lookalike._SKELETON)
+    assert (look(a) == look(b)) == (unify(a) == unify(b))
+
+
 def test_compatibility_is_a_parameter():
     assert lookalike.Unifier(compatibility="full")("ﬁn ｶ m²") == "fin カ m2" and lookalike.Unifier()("ﬁn ｶ m² Ａ") == "ﬁn ｶ m² A"
     with pytest.raises(ValueError, match="compatibility"):
